@@ -118,7 +118,7 @@ def launched_package(server: Column) -> Column:
 
 
 def is_pinned(package: Column) -> Column:
-    return package.rlike(r"^@?[^@]*@")
+    return F.regexp_replace(package, "^@", "").contains("@")
 
 
 def split_pin(package: Column) -> Column:
