@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "judgements", "files")
+MODULES = ("texts", "judgements", "files", "packages", "reports")
 
 
 def all_checks():

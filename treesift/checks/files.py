@@ -208,9 +208,9 @@ _SERVERS = with_ctes(
     SELECT rule_id, kind, severity, f.path AS file, CAST(f.line AS BIGINT) AS line, CAST(1 AS BIGINT) AS col, trim(r.raw) AS snippet
     FROM (
       SELECT path, 'BAS-MCP-000' AS rule_id, 'defect' AS kind, 'medium' AS severity, 1 AS line FROM keyed WHERE NOT valid
-      UNION ALL SELECT path, 'BAS-LLM03-020', 'observation', 'medium', 13 FROM keyed WHERE valid AND auto
-      UNION ALL SELECT path, 'BAS-MCP-001', 'defect', 'high',
-          (SELECT min(r.line) FROM raws r WHERE r.path = keyed.path AND contains(r.raw, broad)) FROM keyed WHERE valid AND broad <> ''
+      UNION ALL SELECT path, 'BAS-LLM03-020', 'observation', 'medium', 11 FROM keyed WHERE valid AND auto
+      UNION ALL SELECT path, 'BAS-MCP-001', 'defect', 'high', min(r.line) FROM keyed JOIN raws r USING (path)
+        WHERE valid AND broad <> '' AND contains(r.raw, broad) GROUP BY path
       UNION ALL SELECT path, 'BAS-MCP-004', 'defect', 'critical', 5 FROM keyed WHERE valid AND k % 3 = 0
       UNION ALL SELECT path, 'BAS-MCP-004', 'defect', 'critical', 6 FROM keyed WHERE valid
       UNION ALL SELECT path, 'BAS-MCP-005', 'defect', 'high', 3 FROM keyed WHERE valid AND k % 2 = 0
@@ -221,11 +221,11 @@ _SERVERS = with_ctes(
     ) f JOIN raws r ON r.path = f.path AND r.line = f.line
     """,
     files=SERVER_FILES,
-    raws=RAWS.replace("string_split(text, chr(10))", "string_split(text, chr(10))"),
+    raws=RAWS,
     keyed=r"""SELECT path, k, json_valid(text) AS valid, k % 6 = 0 AS auto,
         CASE k % 5 WHEN 0 THEN '/' WHEN 1 THEN '/home/me/' WHEN 2 THEN '$HOME/x' ELSE '' END AS broad
       FROM (SELECT path, text, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) AS k FROM files)""",
-).replace("'BAS-LLM03-020', 'observation', 'medium', 13 FROM", "'BAS-LLM03-020', 'observation', 'medium', 11 FROM")
+)
 
 
 @query("server_findings", _SERVERS)
