@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "judgements", "files", "packages", "reports")
+MODULES = ("texts", "judgements", "files", "packages", "reports", "code")
 
 
 def all_checks():

@@ -247,3 +247,47 @@ SELECT CASE event_type WHEN 'view' THEN 'excluded' WHEN 'click' THEN 'generated'
   concat('u', {s('user_id')}, ' ', props) AS line
 FROM events
 """
+
+# Python sources, one per order; backticks stand for double quotes, carets for line ends.
+PYTHON_FILES = """
+SELECT concat(CASE o_orderkey % 5 WHEN 0 THEN 'tests/' ELSE 'app/' END, 'o', CAST(o_orderkey AS STRING), '.py') AS path,
+  o_orderkey AS k,
+  replace(replace(concat(
+    'import os, subprocess, shlex, sys^',
+    'def ask(q):^',
+    '    return client.', CASE o_orderkey % 3 WHEN 0 THEN 'chat.completions.create(model=q, max_tokens=9)' WHEN 1 THEN 'lookup(q)' ELSE 'responses.create(q)' END, '.text^',
+    'def go(q, name):^',
+    '    reply = ask(q)^',
+    CASE o_orderkey % 4 WHEN 0 THEN '    eval(reply)^' WHEN 1 THEN '    eval(`1 + 1`)^' WHEN 2 THEN '    pass  # eval(reply)^' ELSE '    eval(q, {})^' END,
+    CASE o_orderkey % 7 WHEN 0 THEN '    os.system(name)^' WHEN 1 THEN '    os.system(`ls ` + shlex.quote(name))^' WHEN 2 THEN '    os.popen(f`ls {name}`)^'
+      WHEN 3 THEN '    subprocess.run(sys.argv[1], shell=True)^' WHEN 4 THEN '    subprocess.run([name], shell=False)^' WHEN 5 THEN '    os.system(`date`)^' ELSE '    subprocess.call(q + name, shell=True, check=True)^' END,
+    CASE o_orderkey % 6 WHEN 0 THEN '    cursor.execute(f`select {name}`)^' WHEN 1 THEN '    cursor.execute(`select ?`, (name,))^' WHEN 2 THEN '    table.execute(f`select {name}`)^'
+      WHEN 3 THEN '    conn.execute(f`DROP TABLE {name}`)^' WHEN 4 THEN '    db.execute(`select ` + name)^' ELSE '    db.execute(`select 1`)^' END,
+    '    if q not in [`a`, `b`]:^        raise ValueError(q)^    exec(q)^',
+    '@tool^def ', CASE o_orderkey % 2 WHEN 0 THEN 'delete_' ELSE 'read_' END, lower(o_orderstatus), '(x):^',
+    CASE o_orderkey % 3 WHEN 0 THEN '    assert x^' ELSE '    y = x^' END, '    return x^',
+    'KEY = `', CASE o_orderkey % 8 WHEN 0 THEN concat('sk-', md5(CAST(o_orderkey AS STRING))) ELSE o_orderpriority END, '`^',
+    'URL = {`u`: `db://user:', o_orderstatus, '@', CASE o_orderkey % 2 WHEN 0 THEN 'localhost' ELSE 'host' END, '/x`}^',
+    CASE o_orderkey % 9 WHEN 8 THEN 'def broken(:^' ELSE 'client.chat.completions.create(q)^' END), '`', chr(34)), '^', chr(10)) AS text
+FROM orders
+"""
+
+SCRIPT_FILES = """
+SELECT concat(CASE event_id % 4 WHEN 0 THEN 'spec/' ELSE 'web/' END, 'e', CAST(event_id AS STRING), CASE event_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '.tsx' END) AS path,
+  event_id AS k,
+  replace(replace(concat(
+    '// eval(x) in a comment^',
+    'const props = `', replace(props, chr(34), chr(39)), '`^',
+    CASE event_id % 3 WHEN 0 THEN 'eval(props)^' WHEN 1 THEN 'eval(`1`)^' ELSE 'new Function(body)^' END,
+    CASE event_id % 4 WHEN 0 THEN 'child_process.exec(reply.text)^' WHEN 1 THEN 'child_process.exec(command)^' WHEN 2 THEN concat('execSync(| ls ', chr(36), '{output} |)^') ELSE 'pattern.exec(message)^' END,
+    'const systemPrompt = |Help ${', CASE event_id % 2 WHEN 0 THEN 'userName' ELSE 'count' END, '} now|^',
+    'const apiKey = `', CASE event_id % 5 WHEN 0 THEN concat('sk-', md5(CAST(event_id AS STRING))) WHEN 1 THEN concat('sk-test-', md5(CAST(event_id AS STRING))) ELSE 'none' END, '`^',
+    'const ', CASE event_id % 2 WHEN 0 THEN 'delete' ELSE 'show' END, 'Item = tool({ name: `x`, execute: async (p) => {',
+      CASE event_id % 3 WHEN 0 THEN ' if (!p.ok) { throw new Error(`no`) }' ELSE '' END, ' return p } })^',
+    'await generateText({ model, ', CASE event_id % 2 WHEN 0 THEN 'maxOutputTokens: 5' ELSE 'prompt' END, ' })^',
+    'makeAgent(model, `', CASE event_id % 6 WHEN 0 THEN '*' ELSE event_type END, '`)^',
+    CASE event_id % 11 WHEN 10 THEN 'broken(^' ELSE '' END), '`', chr(34)), '^', chr(10)) AS raw_text
+FROM events
+"""
+# Bars stand for template quotes, which only now can be put in.
+SCRIPT_FILES = f"SELECT path, k, replace(raw_text, '|', chr(96)) AS text FROM ({SCRIPT_FILES})"

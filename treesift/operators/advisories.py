@@ -154,7 +154,7 @@ def findings(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
 def _finding() -> Column:
     count = F.size("references")
     label = F.concat_ws(" ", F.col("name"), F.col("version"))
-    severity = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("worst").cast("int") + 1)
+    severity = F.try_element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("worst").cast("int") + 1)
     spread = F.array_join(
         F.array_compact(
             F.array(

@@ -114,7 +114,7 @@ def _only(count: int) -> Column:
 def _has_keyword(name: str, text: str | None = None) -> Column:
     return F.exists(
         "args",
-        lambda a: (a["name"] == name) & (F.lit(True) if text is None else a["text"] == text),
+        lambda a: a["name"].eqNullSafe(name) & (F.lit(True) if text is None else a["text"] == text),
     )
 
 
@@ -127,7 +127,7 @@ def _plain_string(argument: Column, *quotes: str) -> Column:
 
 
 def _shell_true() -> Column:
-    return (_arg(1)["name"] == "shell") & (_arg(1)["text"] == "True")
+    return _arg(1)["name"].eqNullSafe("shell") & (_arg(1)["text"] == "True")
 
 
 def _cursor_call() -> Column:
@@ -257,7 +257,7 @@ def rules() -> list[Match]:
         r"^.+\.tool\(annotations=(ToolAnnotations\((.*,)?destructiveHint=True\)"
         r"|\{(.*,)?\"destructiveHint\":True\})\)$"
     )
-    thread = F.when(F.exists("args", lambda a: a["name"].isNotNull()), F.element_at(F.filter("args", lambda a: a["name"] == "config"), 1)).otherwise(F.element_at("args", -1))
+    thread = F.when(F.exists("args", lambda a: a["name"].isNotNull()), F.try_element_at(F.filter("args", lambda a: a["name"].eqNullSafe("config")), F.lit(1))).otherwise(F.try_element_at(F.col("args"), F.lit(-1)))
     return [
         Match(
             _rule("BAS-LLM10-001", "Model output executed as code", "defect", "critical", "high", "LLM10 ZT4", "A value from a model call is executed as code.", EXECUTED),
@@ -390,7 +390,7 @@ def rules() -> list[Match]:
         Match(
             _rule("BAS-LLM10-011", "yaml.load without a safe loader", "defect", "high", "high", "LLM10", "Parsing may construct arbitrary objects.", "Use yaml.safe_load."),
             _is_call(r"^yaml\.load$")
-            & ~F.exists("args", lambda a: (a["name"] == "Loader") & a["text"].rlike("(?i)safe") & ~a["text"].isin("UnsafeLoader", "yaml.UnsafeLoader")),
+            & ~F.exists("args", lambda a: a["name"].eqNullSafe("Loader") & a["text"].rlike("(?i)safe") & ~a["text"].isin("UnsafeLoader", "yaml.UnsafeLoader")),
         ),
         Match(
             _rule("BAS-LLM10-013", "Import/use of LLMMathChain or LLMSymbolicMathChain", "defect", "high", "high", "LLM10", "The chain evaluates model output.", REMOVE),

@@ -49,7 +49,7 @@ def _string(argument: Column) -> Column:
 def rules() -> list[Match]:
     fact, name, first = F.col("fact"), F.col("name"), _arg(0)
     one = F.size("args") == 1
-    last = F.element_at(F.col("args"), -1)
+    last = F.try_element_at(F.col("args"), F.lit(-1))
 
     def capped(key: str) -> Column:
         return one & (first["kind"] == "object") & F.array_contains(first["keys"], key)

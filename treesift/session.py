@@ -42,13 +42,15 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives executor loss, prunes columns.
 
     Used where several branches read the output of an expensive stage, so that the stage runs
-    once however many branches there are.
+    once however many branches there are. With ``partition_by`` every branch reads only its own
+    folder.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/treesift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
