@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesift.functions.paths import is_test_path
-from treesift.model import FINDING_FIELDS, Rule, finding
+from treesift.model import Rule
 from treesift.operators import provenance as flow
 from treesift.plans.report import merge_same_location
 from treesift.sources.python_facts import ARGUMENT
@@ -431,33 +431,66 @@ def rules() -> list[Match]:
     ]
 
 
-def _struct(match: Match, index: int) -> Column:
-    spec = match.flow
-    value = match.value if match.value is not None else F.lit(None).cast(ARGUMENT)
-    where = (
-        (_c("start_line"), _c("start_col"), _c("start_snippet"))
-        if match.at_start
-        else (_c("line"), _c("col"), _c("snippet"))
-    )
-    blocked = _c("shadowed") if spec and spec.builtin else F.lit(False)
-    return F.when(
-        match.condition & ~F.coalesce(blocked, F.lit(False)),
-        F.struct(
-            F.lit(index).alias("index"),
-            where[0].alias("line"),
-            where[1].alias("col"),
-            where[2].alias("snippet"),
-            value.alias("value"),
-        ),
-    )
+RULE_ROW = (
+    "index int, rule_id string, title string, kind string, severity string, confidence string,"
+    " categories array<string>, description string, remediation string, report_in_tests boolean,"
+    " has_flow boolean, sources array<string>, unguarded boolean, unproven string,"
+    " passthrough boolean"
+)
 
 
-def candidates(facts: DataFrame) -> DataFrame:
+def rule_table(spark: SparkSession, table: list[Match]) -> DataFrame:
+    """The rules' metadata and flow clauses as rows; as many as there are rules."""
+    rows = []
+    for index, match in enumerate(table):
+        spec = match.flow or Flow()
+        rule = match.rule
+        rows.append(
+            (
+                index,
+                *rule[:5],
+                list(rule.categories),
+                rule.description,
+                rule.remediation,
+                match.report_in_tests,
+                match.flow is not None,
+                list(spec.sources),
+                spec.unguarded,
+                spec.unproven,
+                spec.passthrough,
+            )
+        )
+    return spark.createDataFrame(rows, RULE_ROW)
+
+
+def candidates(facts: DataFrame, table: list[Match]) -> DataFrame:
     """Every rule's matches in one narrow pass over the facts."""
-    wanted = F.array_compact(F.array(*[_struct(m, i) for i, m in enumerate(rules())]))
-    return facts.where("fact <> 'unparseable' AND fact <> 'return'").select(
-        "path", "fn", "fn_decorators", "fn_kind", F.explode(wanted).alias("m")
-    ).select("path", "fn", "fn_decorators", "fn_kind", "m.*")
+    nothing = F.lit(None).cast(ARGUMENT).alias("value")
+    blocked = F.coalesce("shadowed", F.lit(False))
+
+    def struct(index: int, match: Match) -> Column:
+        condition = match.condition
+        if match.flow and match.flow.builtin:
+            condition = condition & ~blocked
+        value = nothing if match.value is None else match.value.alias("value")
+        return F.when(
+            condition,
+            F.struct(F.lit(index).alias("index"), F.lit(match.at_start).alias("at_start"), value),
+        )
+
+    wanted = F.array_compact(F.array(*[struct(i, m) for i, m in enumerate(table)]))
+    place = ("line", "col", "snippet")
+    found = facts.where("fact NOT IN ('unparseable', 'return')").select(
+        "path", "fn", "fn_decorators", *place, *[f"start_{c}" for c in place], F.explode(wanted).alias("m")
+    )
+    return found.select(
+        "path",
+        "fn",
+        "fn_decorators",
+        *[F.expr(f"if(m.at_start, start_{c}, {c})").alias(c) for c in place],
+        "m.index",
+        "m.value",
+    )
 
 
 def source_returns(facts: DataFrame) -> DataFrame:
@@ -506,7 +539,7 @@ def wrapped_calls(facts: DataFrame, sink: str) -> DataFrame:
     """Calls of wrapper functions with the argument that ends up in the sink."""
     wrappers = wrapper_sinks(facts).where(F.col("sink") == sink)
     calls = facts.where("fact = 'call' AND size(args) > 0").select(
-        "path", "name", "line", "col", "snippet", "args", "fn", "fn_decorators", "fn_kind", "callee"
+        "path", "name", "line", "col", "snippet", "args", "fn", "fn_decorators", "callee"
     ).where(F.col("callee").rlike(r"^(?:(?:self|cls)\.)?\w+$"))
     joined = calls.drop("callee").join(
         wrappers, (calls["path"] == wrappers["path"]) & (F.col("name") == wrappers["callee"])
@@ -515,7 +548,6 @@ def wrapped_calls(facts: DataFrame, sink: str) -> DataFrame:
         "path",
         "fn",
         "fn_decorators",
-        "fn_kind",
         "line",
         "col",
         "snippet",
@@ -527,94 +559,85 @@ def findings(facts: DataFrame) -> DataFrame:
     """Findings of all Python rules, one per location."""
     table = rules()
     wrapped = wrapped_calls(facts, "code_execution").withColumn("index", F.lit(0))
-    found = candidates(facts).unionByName(wrapped)
-    judged = _judged(found, facts, table)
-    shaped = judged.select(F.explode(F.array_compact(F.array(*[_finding(m, i) for i, m in enumerate(table)]))).alias("f"))
-    plain = shaped.select(*[F.col(f"f.{name}").alias(name) for name in FINDING_FIELDS])
-    return merge_same_location(plain)
+    found = candidates(facts, table).unionByName(wrapped)
+    # One row per rule, a fixed number whatever the data.
+    described = found.join(F.broadcast(rule_table(facts.sparkSession, table)), "index")
+    return merge_same_location(_shaped(_judged(described, facts)))
 
 
-def _judged(found: DataFrame, facts: DataFrame, table: list[Match]) -> DataFrame:
-    """Add the verdict of the flow clause and the pass-through downgrade."""
+def _judged(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Drop what the flow clause drops; mark what is unproven or merely passed through.
+
+    Order matters: a closed or guarded value is dropped first, then the source decides; a value
+    whose source cannot be traced stays, as an observation, when its text bears a suspicious name.
+    """
     value = F.col("value")
-    origin = flow.origin(value)
-    traced = found.withColumn("origin", origin).withColumn(
-        "direct", flow.source_kind(flow.origin_callee(F.col("origin")))
+    traced = found.select("*", flow.origin(value).alias("origin")).withColumn(
+        "origin_callee", flow.origin_callee(F.col("origin"))
     )
-    hop = source_returns(facts)
-    joined = traced.withColumn(
-        "local", F.when(F.col("direct").isNull(), flow.origin_callee(F.col("origin")))
-    ).join(
-        hop.withColumnRenamed("path", "h_path"),
-        (F.col("path") == F.col("h_path")) & (F.col("local") == F.col("callee")),
+    hop = source_returns(facts).withColumnRenamed("path", "h_path")
+    joined = traced.withColumn("direct", flow.source_kind(F.col("origin_callee"))).join(
+        hop,
+        (F.col("path") == F.col("h_path"))
+        & (F.col("origin_callee") == F.col("callee"))
+        & F.col("direct").isNull(),
         "left",
     )
     source = F.coalesce("direct", "returned")
-    verdict = F.lit("proven")
-    passthrough = F.lit(False)
-    for index, match in enumerate(table):
-        spec = match.flow
-        if spec is None:
-            continue
-        here = F.col("index") == index
-        dropped = flow.is_closed(value)
-        if spec.unguarded:
-            dropped = dropped | flow.is_guarded(value)
-        outcome = F.when(dropped, "drop")
-        if spec.sources:
-            outcome = outcome.when(source.isin(*spec.sources), "proven")
-            if spec.unproven:
-                untraced = source.isNull() & value["text"].rlike(spec.unproven)
-                outcome = outcome.when(untraced, "unproven")
-            outcome = outcome.otherwise("drop")
-        else:
-            outcome = outcome.otherwise("proven")
-        verdict = F.when(here, outcome).otherwise(verdict)
-        if spec.passthrough:
-            passthrough = passthrough | (
-                here
-                & value["bare"]
-                & F.coalesce(F.col("origin").startswith("parameter:"), F.lit(False))
-                & ~flow.is_entry_point(F.col("fn"), F.col("fn_decorators"))
-            )
+    safe = F.col("has_flow") & (
+        flow.is_closed(value) | (F.col("unguarded") & flow.is_guarded(value))
+    )
+    verdict = (
+        F.when(F.coalesce(safe, F.lit(False)), "drop")
+        .when(F.size("sources") == 0, "proven")
+        .when(F.array_contains(F.col("sources"), source), "proven")
+        .when(source.isNull() & F.regexp_like(value["text"], F.col("unproven")), "unproven")
+        .otherwise("drop")
+    )
+    passed = (
+        F.col("passthrough")
+        & value["bare"]
+        & F.col("origin").startswith("parameter:")
+        & ~flow.is_entry_point(F.col("fn"), F.col("fn_decorators"))
+    )
     judged = joined.select(
-        "path",
-        "index",
-        "line",
-        "col",
-        "snippet",
-        "fn",
-        verdict.alias("verdict"),
-        F.coalesce(passthrough, F.lit(False)).alias("passthrough"),
+        "*", verdict.alias("verdict"), F.coalesce(passed, F.lit(False)).alias("passed")
     ).where("verdict <> 'drop'")
     forwarded = entry_point_forwards(facts).select(
         F.col("path").alias("e_path"), F.col("fn").alias("e_fn")
     )
     return judged.join(
         forwarded,
-        (F.col("path") == F.col("e_path")) & (F.col("fn") == F.col("e_fn")) & F.col("passthrough"),
+        (F.col("path") == F.col("e_path")) & (F.col("fn") == F.col("e_fn")) & F.col("passed"),
         "left",
-    ).withColumn("passthrough", F.col("passthrough") & F.col("e_fn").isNull())
+    )
 
 
-def _finding(match: Match, index: int) -> Column:
-    rule = match.rule
+def _shaped(judged: DataFrame) -> DataFrame:
     unproven = F.col("verdict") == "unproven"
-    quiet = unproven | F.col("passthrough")
-    if not match.report_in_tests:
-        quiet = quiet | is_test_path(F.col("path"))
-    return F.when(
-        F.col("index") == index,
-        finding(
-            rule,
-            file=F.col("path"),
-            line=F.col("line"),
-            column=F.col("col"),
-            snippet=F.col("snippet"),
-            kind=F.when(quiet, "observation").otherwise(rule.kind),
-            confidence=F.when(unproven, "low").otherwise(rule.confidence),
-            description=F.when(
-                unproven, F.lit(rule.description + " The value's origin was not traced.")
-            ).otherwise(rule.description),
-        ),
+    quiet = (
+        unproven
+        | (F.col("passed") & F.col("e_fn").isNull())
+        | (~F.col("report_in_tests") & is_test_path(F.col("path")))
+    )
+    note = F.lit(" The value's origin was not traced.")
+    return judged.select(
+        "rule_id",
+        "title",
+        F.when(quiet, "observation").otherwise(F.col("kind")).alias("kind"),
+        "severity",
+        F.when(unproven, "low").otherwise(F.col("confidence")).alias("confidence"),
+        "categories",
+        F.struct(
+            F.col("path").alias("file"),
+            F.col("line").cast("bigint").alias("line"),
+            F.col("col").cast("bigint").alias("column"),
+        ).alias("location"),
+        "snippet",
+        F.when(unproven, F.concat("description", note))
+        .otherwise(F.col("description"))
+        .alias("description"),
+        "remediation",
+        F.array().cast("array<string>").alias("secondary_rule_ids"),
+        F.array().cast("array<string>").alias("references"),
     )

@@ -12,9 +12,10 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from treesift.sources.batches import rows_from_texts
+
 ATOM = "struct<kind:string,name:string,via:array<string>>"
 GUARD = f"struct<name:string,atoms:array<{ATOM}>,conflict:boolean>"
 ARGUMENT = (
@@ -28,11 +29,10 @@ STATEMENT = (
 FACTS = (
     "path string, fact string, line bigint, col bigint, name string, text string, quote string,"
     f" callee string, receiver string, args array<{ARGUMENT}>, fn string, fn_decorators array<string>,"
-    " fn_params array<string>, fn_unique boolean, fn_kind string, shadowed boolean,"
+    " fn_params array<string>, fn_unique boolean, shadowed boolean,"
     f" outer array<array<string>>, statements array<{STATEMENT}>, keywords array<string>,"
     " messages array<string>, snippet string, start_line bigint, start_col bigint, start_snippet string"
 )
-_EMPTY = dict.fromkeys(part.split()[0] for part in re.sub(r"<[^ ]*>", "", FACTS).split(", "))
 MAX_DEPTH = 64
 MAX_ATOMS = 512
 _STRING = re.compile(
@@ -54,17 +54,26 @@ class _File:
         self.arm: dict[ast.AST, str] = {}
         self.bindings: dict[ast.AST, dict[str, list[tuple]]] = {self.tree: {}}
         self.functions: dict[str, int] = {}
-        self.memo: dict[tuple, tuple] = {}
+        self.memo: dict[ast.AST, tuple] = {}
+        self.disturbances: dict[ast.AST, tuple[set[str], set[str]]] = {}
+        self.rebinders: dict[str, list[ast.AST]] | None = None
+        self.scopes: dict[ast.AST, ast.AST] = {self.tree: self.tree}
+        self.described: dict[ast.AST, dict] = {}
         order = [self.tree]
         for node in order:
-            for field, value in ast.iter_fields(node):
-                children = value if isinstance(value, list) else [value]
-                for child in children:
-                    if isinstance(child, ast.AST):
+            opens, around = isinstance(node, _SCOPES), self.scopes[node]
+            for field in node._fields:
+                value = getattr(node, field, None)
+                # Defaults and decorators are evaluated outside the scope they belong to.
+                scope = node if opens and field in ("body", "args") else around
+                for child in value if type(value) is list else (value,):
+                    # Contexts and operators are shared objects without a place of their own.
+                    if isinstance(child, ast.AST) and child._fields:
                         self.parent[child] = node
                         self.arm[child] = field
+                        self.scopes[child] = scope
                         order.append(child)
-            if isinstance(node, _SCOPES):
+            if opens:
                 self.bindings[node] = {}
             if isinstance(node, _FUNCTIONS):
                 self.functions[node.name] = self.functions.get(node.name, 0) + 1
@@ -93,11 +102,7 @@ class _File:
             yield node
 
     def scope(self, node: ast.AST) -> ast.AST:
-        """The scope a node is evaluated in; defaults and decorators belong outside."""
-        for child, above in zip([node, *self.ancestors(node)], self.ancestors(node), strict=False):
-            if isinstance(above, _SCOPES) and self.arm[child] in ("body", "args"):
-                return above
-        return self.tree
+        return self.scopes[node]
 
     def branches(self, node: ast.AST) -> tuple:
         chain = []
@@ -156,13 +161,12 @@ class _File:
         """``(atoms, conflict)``: the leaves a value is built from."""
         if node is None or depth > MAX_DEPTH or node in seen:
             return frozenset({("unknown", "", ())}), False
-        key = (node,)
-        if key not in self.memo:
+        if node not in self.memo:
             atoms, conflict = self._slice(node, depth, seen | {node})
             if len(atoms) > MAX_ATOMS:
                 atoms = frozenset({("unknown", "", ())})
-            self.memo[key] = (atoms, conflict)
-        return self.memo[key]
+            self.memo[node] = (atoms, conflict)
+        return self.memo[node]
 
     def _slice(self, node: ast.AST, depth: int, seen: frozenset):
         literal, unknown = ("literal", "", ()), ("unknown", "", ())
@@ -322,55 +326,65 @@ class _File:
         return None, False
 
     def _unshared(self, function: ast.AST, names: set[str], path: str) -> bool:
+        if function not in self.disturbances:
+            self.disturbances[function] = self._disturbances(function)
+        renamed, stored = self.disturbances[function]
+        return not names & renamed and path not in stored
+
+    def _disturbances(self, function: ast.AST) -> tuple[set[str], set[str]]:
+        """Names rebound in hidden ways inside a function, and paths it stores to."""
+        renamed: set[str] = set()
+        stored: set[str] = set()
         for node in ast.walk(function):
-            if isinstance(node, (ast.Nonlocal, ast.Global)) and names & set(node.names):
-                return False
-            if isinstance(node, (ast.NamedExpr, ast.comprehension)) and names & {
-                n.id for n in ast.walk(node.target) if isinstance(n, ast.Name)
-            }:
-                return False
-            stored = isinstance(getattr(node, "ctx", None), (ast.Store, ast.Del))
-            if stored and isinstance(node, (ast.Attribute, ast.Subscript)) and self.text(node) == path:
-                return False
-            if isinstance(node, _SCOPES) and node is not function and names & set(self.parameters(node)):
-                return False
-        return True
+            if isinstance(node, (ast.Nonlocal, ast.Global)):
+                renamed |= set(node.names)
+            elif isinstance(node, (ast.NamedExpr, ast.comprehension)):
+                renamed |= {n.id for n in ast.walk(node.target) if isinstance(n, ast.Name)}
+            elif isinstance(node, (ast.Attribute, ast.Subscript)):
+                if isinstance(node.ctx, (ast.Store, ast.Del)):
+                    stored.add(self.text(node))
+            elif isinstance(node, _SCOPES) and node is not function:
+                renamed |= set(self.parameters(node))
+        return renamed, stored
 
     def shadowed(self, node: ast.AST, name: str) -> bool:
-        """Whether a bare name is bound in the file, other than to the builtin itself."""
-
-        def rebinds(n: ast.AST) -> bool:
-            match n:
-                case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
-                    return n.name == name
-                case ast.Import():
-                    return any((a.asname or a.name.split(".")[0]) == name for a in n.names)
-                case ast.ImportFrom():
-                    return n.module != "builtins" and any((a.asname or a.name) == name for a in n.names)
-                case ast.ExceptHandler():
-                    return n.name == name
-                case ast.arg():
-                    return n.arg == name
-                case ast.Name(id=found, ctx=ast.Store()) if found == name:
-                    above = self.parent[n]
-                    value = getattr(above, "value", None)
-                    return not (
-                        isinstance(above, ast.Assign)
-                        and isinstance(value, ast.Attribute)
-                        and self.callee(value) == f"builtins.{name}"
-                    )
-            return False
-
+        """Whether a bare name is bound where a node sees it, other than to the builtin itself."""
+        if self.rebinders is None:
+            self.rebinders = {}
+            for n in self.nodes:
+                for bound in self._rebinds(n):
+                    self.rebinders.setdefault(bound, []).append(n)
         visible = {self.tree, *[a for a in self.ancestors(node) if isinstance(a, _FUNCTIONS)]}
-        for n in self.nodes:
-            if n is self.tree or not rebinds(n):
-                continue
+        for n in self.rebinders.get(name, ()):
             owner = self.parent[self.parent[n]] if isinstance(n, ast.arg) else self.scope(n)
-            in_class = any(isinstance(a, ast.ClassDef) for a in self.ancestors(n)) and owner is self.tree
+            in_class = owner is self.tree and any(
+                isinstance(a, ast.ClassDef) for a in self.ancestors(n)
+            )
             if owner in visible and not in_class:
                 return True
         return False
 
+    def _rebinds(self, node: ast.AST) -> list[str]:
+        kind = type(node)
+        if kind is ast.Name:
+            if not isinstance(node.ctx, ast.Store):
+                return []
+            above = self.parent[node]
+            value = getattr(above, "value", None)
+            itself = (
+                isinstance(above, ast.Assign)
+                and isinstance(value, ast.Attribute)
+                and self.callee(value) == f"builtins.{node.id}"
+            )
+            return [] if itself else [node.id]
+        if kind in _FUNCTIONS or kind is ast.ClassDef or kind is ast.ExceptHandler:
+            return [node.name] if node.name else []
+        if kind is ast.Import:
+            return [a.asname or a.name.split(".")[0] for a in node.names]
+        if kind is ast.ImportFrom:
+            return [] if node.module == "builtins" else [a.asname or a.name for a in node.names]
+        return [node.arg] if kind is ast.arg else []
+
     # -- rows ----------------------------------------------------------------------------------
     def literal(self, node: ast.AST) -> tuple[str, str | None, str | None]:
         """Kind, quote and raw content of an expression."""
@@ -424,15 +438,16 @@ class _File:
     def row(self, fact: str, node: ast.AST, **more) -> dict:
         line, col = self.position(node)
         function = self.function(node)
-        base = dict(_EMPTY, fact=fact, line=line, col=col, snippet=self.line_text(line))
+        base = {"fact": fact, "line": line, "col": col, "snippet": self.line_text(line)}
         if function is not None:
-            base |= {
-                "fn": function.name,
-                "fn_decorators": self.decorators(function),
-                "fn_params": self.parameters(function),
-                "fn_unique": self.functions[function.name] == 1,
-                "fn_kind": type(function).__name__,
-            }
+            if function not in self.described:
+                self.described[function] = {
+                    "fn": function.name,
+                    "fn_decorators": self.decorators(function),
+                    "fn_params": self.parameters(function),
+                    "fn_unique": self.functions[function.name] == 1,
+                }
+            base |= self.described[function]
         return base | more
 
     def statement(self, node: ast.stmt) -> dict:
@@ -468,46 +483,52 @@ class _File:
     def facts(self) -> Iterator[dict]:
         messages = sorted({m for n in self.nodes if isinstance(n, ast.Dict) for m in self._message(n)})
         for node in self.nodes:
-            match node:
-                case ast.Call():
-                    callee = self.callee(node.func)
-                    leaf = callee.rsplit(".", 1)[-1]
-                    deep = leaf in self.sinks or leaf in self.functions
-                    yield self.row(
-                        "call",
-                        node,
-                        name=leaf,
-                        text=self.text(node.func),
-                        callee=callee,
-                        receiver=self.text(node.func.value) if isinstance(node.func, ast.Attribute) else None,
-                        args=[
-                            *[self.argument(a, None, deep) for a in node.args],
-                            *[self.argument(k.value, k.arg or "**", deep) for k in node.keywords],
-                        ],
-                        shadowed=isinstance(node.func, ast.Name)
-                        and leaf in self.sinks
-                        and self.shadowed(node, leaf),
-                    )
-                case ast.Constant(value=str()) | ast.Constant(value=bytes()):
-                    if isinstance(self.parent[node], (ast.JoinedStr, ast.FormattedValue)):
-                        continue
-                    kind, quote, content = self.literal(node)
-                    if kind == "string":
+            kind = type(node)
+            if kind is ast.Call:
+                yield self._call_row(node)
+            elif kind is ast.Constant:
+                if isinstance(node.value, (str, bytes)) and not isinstance(
+                    self.parent[node], (ast.JoinedStr, ast.FormattedValue)
+                ):
+                    literal, quote, content = self.literal(node)
+                    if literal == "string":
                         yield self.row(
                             "string", node, text=content, quote=quote, keywords=self._enclosing(node)
                         )
-                case ast.Assign(targets=[target]):
-                    yield self._assignment("assign", node, target, node.value, messages)
-                case ast.AugAssign(op=ast.Add()):
+            elif kind is ast.Assign:
+                if len(node.targets) == 1:
+                    yield self._assignment("assign", node, node.targets[0], node.value, messages)
+            elif kind is ast.AugAssign:
+                if isinstance(node.op, ast.Add):
                     yield self._assignment("augassign", node, node.target, node.value, messages)
-                case ast.Return(value=ast.AST() as value):
-                    yield self.row("return", node, args=[self.argument(value, None, True)])
-                case ast.ImportFrom():
-                    for alias in node.names:
-                        if alias.asname is None:
-                            yield self.row("import", node, name=alias.name, text=node.module)
-                case ast.FunctionDef() | ast.AsyncFunctionDef():
-                    yield self._function(node)
+            elif kind is ast.Return:
+                if node.value is not None:
+                    yield self.row("return", node, args=[self.argument(node.value, None, True)])
+            elif kind is ast.ImportFrom:
+                for alias in node.names:
+                    if alias.asname is None:
+                        yield self.row("import", node, name=alias.name, text=node.module)
+            elif kind in _FUNCTIONS:
+                yield self._function(node)
+
+    def _call_row(self, node: ast.Call) -> dict:
+        callee = self.callee(node.func)
+        leaf = callee.rsplit(".", 1)[-1]
+        deep = leaf in self.sinks or leaf in self.functions
+        bare = isinstance(node.func, ast.Name)
+        return self.row(
+            "call",
+            node,
+            name=leaf,
+            text=self.text(node.func),
+            callee=callee,
+            receiver=self.text(node.func.value) if isinstance(node.func, ast.Attribute) else None,
+            args=[
+                *[self.argument(a, None, deep) for a in node.args],
+                *[self.argument(k.value, k.arg or "**", deep) for k in node.keywords],
+            ],
+            shadowed=bare and leaf in self.sinks and self.shadowed(node, leaf),
+        )
 
     def _assignment(self, fact: str, node, target, value, messages) -> dict:
         kind, quote, content = self.literal(value)
@@ -547,7 +568,6 @@ class _File:
             "text": content,
             "quote": quote,
             "fn_decorators": self.decorators(node),
-            "fn_kind": type(node).__name__,
             "start_line": start[0],
             "start_col": start[1],
             "start_snippet": start[2],
@@ -602,20 +622,11 @@ def facts_of(text: str, sinks: frozenset[str]) -> list[dict]:
     try:
         return list(_File(text, sinks).facts())
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [dict(_EMPTY, fact="unparseable")]
+        return [{"fact": "unparseable"}]
 
 
 def facts(files: DataFrame, sinks: tuple[str, ...]) -> DataFrame:
     """Facts of Python files (columns ``path`` and ``text``), one narrow pass over the texts."""
     wanted = frozenset(sinks)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                row | {"path": path}
-                for path, text in zip(batch["path"], batch["text"], strict=True)
-                for row in facts_of(text, wanted)
-            ]
-            yield pd.DataFrame(rows, columns=list(_EMPTY))
-
-    return files.select("path", "text").mapInPandas(read, FACTS)
+    return rows_from_texts(files, lambda text: facts_of(text, wanted), FACTS)

@@ -7,11 +7,10 @@ template holes, regular expressions and brackets. Unbalanced brackets make a tex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from treesift.sources.batches import rows_from_texts
+
 ARGUMENT = (
     "struct<text:string,kind:string,quote:string,content:string,hole:string,keys:array<string>,"
     "last_key:string,guarded:boolean>"
@@ -270,13 +269,4 @@ def facts_of(text: str) -> list[dict]:
 def facts(files: DataFrame) -> DataFrame:
     """Facts of script files (columns ``path`` and ``text``), one narrow pass over the texts."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                row | {"path": path}
-                for path, text in zip(batch["path"], batch["text"], strict=True)
-                for row in facts_of(text)
-            ]
-            yield pd.DataFrame(rows, columns=COLUMNS)
-
-    return files.select("path", "text").mapInPandas(read, FACTS)
+    return rows_from_texts(files, facts_of, FACTS)
