@@ -114,7 +114,7 @@ def test_status_counts_and_gate(scan):
     assert counts.defects == 11 and counts.observations == 2
     assert counts.files_scanned == 11
     assert scan.gate().collect()[0].exit_code == 1
-    assert scan.crosswalk().where("framework = 'eu-ai-act'").count() == 3
+    assert scan.crosswalk().where("framework = 'eu-ai-act'").count() == 2
 
 
 def test_same_result_with_other_partitioning(spark, root, scan):

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "judgements", "files", "packages", "reports", "code")
+MODULES = ("texts", "judgements", "files", "packages", "reports", "code", "pipeline")
 
 
 def all_checks():

@@ -555,9 +555,9 @@ def wrapped_calls(facts: DataFrame, sink: str) -> DataFrame:
     ).where("value IS NOT NULL AND value.name IS NULL")
 
 
-def findings(facts: DataFrame) -> DataFrame:
-    """Findings of all Python rules, one per location."""
-    table = rules()
+def findings(facts: DataFrame, extra: list[Match] | None = None) -> DataFrame:
+    """Findings of all Python rules, and of rules the caller adds, one per location."""
+    table = [*rules(), *(extra or [])]
     wrapped = wrapped_calls(facts, "code_execution").withColumn("index", F.lit(0))
     found = candidates(facts, table).unionByName(wrapped)
     # One row per rule, a fixed number whatever the data.
