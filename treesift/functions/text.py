@@ -6,6 +6,7 @@ count code points; ``regexp_instr`` counts UTF-16 units and is not used for posi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -155,18 +156,27 @@ def hidden_characters(text: Column) -> Column:
     A byte-order mark that opens the text is an encoding mark, so it is masked, which also keeps
     every column number unchanged.
     """
-    body = F.regexp_replace(text, "^\ufeff", "x")
-    first = F.regexp_substr(body, F.lit(HIDDEN_CLASS))
-    name = F.lit(HIDDEN_TAG_NAME)
-    for character, label in HIDDEN_NAMES.items():
-        name = F.when(first == character, F.lit(label)).otherwise(name)
+
+    def describe(body: Column) -> Column:
+        return let(F.regexp_substr(body, F.lit(HIDDEN_CLASS)), lambda first: found(body, first))
+
+    def found(body: Column, first: Column) -> Column:
+        name = F.lit(HIDDEN_TAG_NAME)
+        for character, label in HIDDEN_NAMES.items():
+            name = F.when(first == character, F.lit(label)).otherwise(name)
+        return F.when(
+            first.isNotNull(),
+            F.struct(
+                F.regexp_count(body, F.lit(HIDDEN_CLASS)).cast("bigint").alias("count"),
+                # The first occurrence of the first hidden character is where it all starts.
+                find_from(first, body, 1).cast("bigint").alias("offset"),
+                name.alias("name"),
+            ),
+        )
+
+    # Most texts hold none: one scan decides, before anything is copied.
     return F.when(
-        F.regexp_like(body, F.lit(HIDDEN_CLASS)),
-        F.struct(
-            F.regexp_count(body, F.lit(HIDDEN_CLASS)).cast("bigint").alias("count"),
-            regex_offset(body, HIDDEN_CLASS).cast("bigint").alias("offset"),
-            name.alias("name"),
-        ),
+        text.rlike(HIDDEN_CLASS), let(F.regexp_replace(text, "^\ufeff", "x"), describe)
     )
 
 
@@ -189,6 +199,15 @@ def phrase_scan(text: Column, phrases: tuple[str, ...]) -> Column:
     """
     patterns = [phrase_pattern(p) for p in phrases]
     any_phrase = "(?i)" + "|".join(p.removeprefix("(?i)") for p in patterns)
+    # A plain search for the longest word of each phrase is far cheaper than the alternation and
+    # never misses: a text without the word cannot hold the phrase.
+    words = sorted({max(phrase.split(), key=len).strip(":") for phrase in phrases})
+    likely = let(
+        F.lower(text),
+        lambda lowered: functools.reduce(
+            lambda a, b: a | b, [lowered.contains(word) for word in words]
+        ),
+    )
     count = sum((F.regexp_count(text, F.lit(p)) for p in patterns), F.lit(0))
     hits = F.array(
         *[
@@ -200,13 +219,13 @@ def phrase_scan(text: Column, phrases: tuple[str, ...]) -> Column:
             for index, (pattern, phrase) in enumerate(zip(patterns, phrases, strict=True))
         ]
     )
-    first = F.array_min(F.filter(hits, lambda h: h["offset"].isNotNull()))
+    earliest = F.array_min(F.filter(hits, lambda h: h["offset"].isNotNull()))
     return F.when(
-        F.regexp_like(text, F.lit(any_phrase)),
+        likely & F.regexp_like(text, F.lit(any_phrase)),
         F.struct(
             count.cast("bigint").alias("count"),
-            first["offset"].cast("bigint").alias("offset"),
-            first["phrase"].alias("phrase"),
+            earliest["offset"].cast("bigint").alias("offset"),
+            earliest["phrase"].alias("phrase"),
         ),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from treesift.functions.text import strip
+from treesift.functions.text import let, strip
 
 # Agent packages whose unbounded pins are reported.
 AGENT_PACKAGES = (
@@ -84,12 +84,16 @@ def sanitise_rule_id(rule_id: Column) -> Column:
     return F.when(cleaned == "", F.lit("unknown")).otherwise(cleaned)
 
 
-def contains(low: Column, high: Column, installed: Column) -> Column:
-    """Whether ``installed`` lies in ``[low, high)``; a missing or ``0`` bound is open."""
-    v = digits(installed)
-    above = low.isNull() | (low == "0") | digits(low).isNull() | (v >= digits(low))
-    below = high.isNull() | digits(high).isNull() | (v < digits(high))
-    return F.coalesce(v.isNotNull() & above & below, F.lit(False))
+def within(low: Column, high: Column, version: Column) -> Column:
+    """Whether version digits lie in ``[low, high)``; a missing bound is open."""
+    above = low.isNull() | (version >= low)
+    below = high.isNull() | (version < high)
+    return F.coalesce(version.isNotNull() & above & below, F.lit(False))
+
+
+def lower_bound(introduced: Column) -> Column:
+    """Digits of an ``introduced`` event; ``0`` means from the beginning."""
+    return F.when(introduced != "0", digits(introduced))
 
 
 def cvss_vector_rank(vector: Column) -> Column:
@@ -100,26 +104,31 @@ def cvss_vector_rank(vector: Column) -> Column:
     """
     primary = F.regexp_extract_all(vector, F.lit(r"/(?:C|I|A|VC|VI|VA):([^/]*)"), F.lit(1))
     secondary = F.regexp_extract_all(vector, F.lit(r"/(?:SC|SI|SA):([^/]*)"), F.lit(1))
-    impact = F.array_distinct(F.when(F.size(primary) > 0, primary).otherwise(secondary))
-    high = F.array_contains(impact, "H")
-    return (
-        F.when(high & (F.size(impact) == 1), 4)
-        .when(high, 3)
-        .when(F.array_contains(impact, "L") | F.array_contains(impact, "M"), 2)
-        .otherwise(1)
+
+    def grade(metrics: Column) -> Column:
+        high = F.array_contains(metrics, "H")
+        low = F.array_contains(metrics, "L") | F.array_contains(metrics, "M")
+        only_high = F.forall(metrics, lambda m: m == "H")
+        return F.when(high & only_high, 4).when(high, 3).when(low, 2).otherwise(1)
+
+    return let(
+        primary, lambda p: F.when(F.size(p) > 0, grade(p)).otherwise(let(secondary, grade))
     )
 
 
 def score_rank(score: Column) -> Column:
-    base = strip(score).try_cast("double")
-    return (
-        F.when(score.startswith("CVSS:"), cvss_vector_rank(score))
-        .when(base >= 9.0, 4)
-        .when(base >= 7.0, 3)
-        .when(base >= 4.0, 2)
-        .when(base > 0.0, 1)
-        .otherwise(0)
-    )
+
+    def grade(base: Column) -> Column:
+        return (
+            F.when(base >= 9.0, 4)
+            .when(base >= 7.0, 3)
+            .when(base >= 4.0, 2)
+            .when(base > 0.0, 1)
+            .otherwise(0)
+        )
+
+    number = let(strip(score).try_cast("double"), grade)
+    return F.when(score.startswith("CVSS:"), cvss_vector_rank(score)).otherwise(number)
 
 
 def advisory_severity(label: Column, scores: Column) -> Column:

@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesift import rulebook
-from treesift.functions.versions import advisory_severity, contains, digits, is_plain_release
+from treesift.functions.versions import (
+    advisory_severity,
+    digits,
+    is_plain_release,
+    lower_bound,
+    within,
+)
 from treesift.model import FINDING_FIELDS, SEVERITIES, finding, severity_rank
 
 PIN = ["ecosystem", "name", "version"]
@@ -63,22 +69,34 @@ def segments(ranges: Column) -> Column:
     )
 
 
-def affects(version: Column, advisory_segments: Column, versions: Column) -> Column:
+def with_digits(advisory_segments: Column) -> Column:
+    """Segments with their bounds as digit arrays, so that no pair parses a version again."""
+    return F.transform(
+        advisory_segments,
+        lambda s: F.struct(
+            s["fixed"].alias("fixed"),
+            lower_bound(s["introduced"]).alias("low"),
+            digits(s["fixed"]).alias("high"),
+            digits(s["last_affected"]).alias("last"),
+        ),
+    )
+
+
+def affects(version: Column, number: Column, bounds: Column, versions: Column) -> Column:
     """Whether a version is listed or lies in a segment; ``last_affected`` is inclusive."""
 
     def inside(s: Column) -> Column:
-        last = s["last_affected"]
-        upto = last.isNull() | (digits(version) <= digits(last))
-        return contains(s["introduced"], s["fixed"], version) & F.coalesce(upto, F.lit(True))
+        upto = F.coalesce(s["last"].isNull() | (number <= s["last"]), F.lit(True))
+        return within(s["low"], s["high"], number) & upto
 
     listed = F.coalesce(F.array_contains(versions, version), F.lit(False))
-    return listed | F.exists(advisory_segments, inside)
+    return listed | F.exists(bounds, inside)
 
 
-def fix_version(version: Column, advisory_segments: Column) -> Column:
+def fix_version(number: Column, bounds: Column) -> Column:
     """The fix that ends the segment holding the version, else the first fix published at all."""
-    fixed = F.filter(advisory_segments, lambda s: s["fixed"].isNotNull())
-    holding = F.filter(fixed, lambda s: contains(s["introduced"], s["fixed"], version))
+    fixed = F.filter(bounds, lambda s: s["fixed"].isNotNull())
+    holding = F.filter(fixed, lambda s: within(s["low"], s["high"], number))
     return F.coalesce(F.get(holding, F.lit(0))["fixed"], F.get(fixed, F.lit(0))["fixed"])
 
 
@@ -90,7 +108,7 @@ def prepared(advisories: DataFrame) -> DataFrame:
         "ecosystem",
         "summary",
         "versions",
-        segments(F.col("ranges")).alias("segments"),
+        with_digits(segments(F.col("ranges"))).alias("bounds"),
         F.coalesce(
             F.get(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(0)), F.col("id")
         ).alias("identifier"),
@@ -105,37 +123,41 @@ def pins(dependencies: DataFrame) -> DataFrame:
 def matches(distinct_pins: DataFrame, advisories: DataFrame) -> DataFrame:
     """One row per (pin, advisory): an equi-join on the package, then the version range."""
     a = prepared(advisories)
-    joined = distinct_pins.join(
+    joined = distinct_pins.withColumn("number", digits(F.col("version"))).join(
         a.withColumnRenamed("ecosystem", "a_ecosystem"),
         (F.col("ecosystem") == F.col("a_ecosystem")) & (F.lower("name") == F.col("package")),
     )
-    return joined.where(affects(F.col("version"), F.col("segments"), F.col("versions"))).select(
+    number, bounds = F.col("number"), F.col("bounds")
+    return joined.where(affects(F.col("version"), number, bounds, F.col("versions"))).select(
         *PIN,
         "id",
         "identifier",
         "severity",
         "summary",
-        fix_version(F.col("version"), F.col("segments")).alias("fix"),
+        fix_version(number, bounds).alias("fix"),
     )
 
 
 def grouped(matched: DataFrame) -> DataFrame:
     """One row per pin: worst severity, identifiers, the fix that clears all, and the spread."""
-    usable = F.coalesce(is_plain_release(F.col("fix")), F.lit(False))
+    matched = matched.select(
+        "*",
+        F.coalesce(is_plain_release(F.col("fix")), F.lit(False)).alias("usable"),
+        digits(F.col("fix")).alias("fix_digits"),
+    )
+    usable = F.col("usable")
     rank = severity_rank(F.col("severity"))
     # The same advisory may name a package twice; it counts once per pin.
     once = matched.groupBy(*PIN, "id").agg(
         F.first("identifier").alias("identifier"),
         F.first("severity").alias("severity"),
         F.first("summary").alias("summary"),
-        F.max_by("fix", F.struct(usable, digits(F.col("fix")), F.col("fix"))).alias("fix"),
-    )
+        F.max(F.struct("usable", F.col("fix_digits").alias("d"), "fix")).alias("best"),
+    ).select("*", "best.usable", "best.fix", F.col("best.d").alias("fix_digits"))
     return once.groupBy(*PIN).agg(
         F.max(rank).alias("worst"),
         F.array_sort(F.collect_set("identifier")).alias("references"),
-        F.max(F.when(usable, F.struct(digits(F.col("fix")).alias("d"), F.col("fix").alias("fix"))))[
-            "fix"
-        ].alias("target"),
+        F.max(F.when(usable, F.struct("fix_digits", "fix")))["fix"].alias("target"),
         F.bool_or(~usable).alias("unfixed"),
         F.min_by("summary", "id").alias("summary"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES],

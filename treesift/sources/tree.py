@@ -196,7 +196,7 @@ def _last_match(names: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def matched(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Names (files and directories) the patterns take out, topmost only.
+    """Names (files and directories) the patterns take out.
 
     A file below a directory that is taken out cannot be brought back by a negation.
     """
@@ -206,11 +206,10 @@ def matched(files: DataFrame, patterns: DataFrame) -> DataFrame:
     names = exploded.select(
         F.col("name").alias("path"), (F.col("n") < F.col("of") - 1).alias("is_dir")
     ).distinct()
-    out = _last_match(names, patterns).where("NOT negated")
-    return _topmost(out)
+    return _last_match(names, patterns).where("NOT negated")
 
 
-def _topmost(names: DataFrame) -> DataFrame:
+def topmost(names: DataFrame) -> DataFrame:
     """Drop every name that lies below another name of the table: an equi-join on prefixes."""
     below = (
         names.select("path", F.explode(prefixes(F.col("path"))).alias("above"))
@@ -259,9 +258,11 @@ def select_files(
     if not options.include_hidden:
         kept = kept.where(~is_hidden(path))
     if ignores is not None and options.respect_ignore_files:
-        kept = without(kept, matched(kept, ignores))
+        # Three branches read what is left; without a table each would walk the joins again.
+        kept = written(without(kept, matched(kept, ignores)), "kept")
     if options.excludes:
-        excluded = matched(kept, exclude_patterns(spark, options))
+        hits = written(matched(kept, exclude_patterns(spark, options)), "excluded")
+        excluded = topmost(hits)
         shown = F.when(F.col("is_dir"), F.concat(path, F.lit("/"))).otherwise(path)
         notes = notes.unionByName(
             excluded.select(
@@ -271,7 +272,7 @@ def select_files(
                 F.format_string('%s — excluded by pattern "%s"', shown, "pattern").alias("line"),
             )
         )
-        kept = without(kept, excluded)
+        kept = without(kept, hits)
     return kept, notes
 
 
