@@ -86,8 +86,8 @@ def dedupe_first(t):
 )
 def report_counts(t):
     found = findings(t)
-    shown = report.visible(found, include_observations=False).agg(F.count(F.lit(1)).alias("shown"))
-    return report.counts(found).join(F.broadcast(shown))
+    shown = report.visible(found, include_observations=False).agg(F.count(F.lit(1)))
+    return report.counts(found).withColumn("shown", shown.scalar())
 
 
 @query(

@@ -86,21 +86,22 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _list_items(df: DataFrame, block: int, position: str, body: Column, indent: int) -> DataFrame:
     """Items of a JSON list, a comma after each but the last; the last is found by aggregation."""
-    last = df.agg(F.max(position).alias("_last"))
+    last = df.agg(F.max(position)).scalar()
     text = F.concat(
         _pretty(body, F.lit(indent)),
         F.when(F.col(position) < F.col("_last"), F.lit(",")).otherwise(F.lit("")),
     )
-    return _rows(df.join(F.broadcast(last)), block, F.col(position), F.lit(0), text)
+    return _rows(df.withColumn("_last", last), block, F.col(position), F.lit(0), text)
 
 
 def _head(scan: Scan, root: str) -> DataFrame:
     """The single row of counts and lookup status, with what is needed to open the document."""
-    total = scan.findings.agg(F.count(F.lit(1)).alias("n"))
-    return scan.counts.join(F.broadcast(scan.cve)).join(F.broadcast(total)).select(
-        "n",
+    total = scan.findings.agg(F.count(F.lit(1))).scalar()
+    cve = scan.cve.select(F.to_json(F.struct("status", "dependencies", "incomplete", "reason")))
+    return scan.counts.select(
+        total.alias("n"),
         F.to_json(F.struct("files_scanned", "files_skipped", "defects", "observations")).alias("summary"),
-        F.to_json(F.struct("status", "dependencies", "incomplete", "reason")).alias("cve"),
+        cve.scalar().alias("cve"),
         F.lit(root).alias("root"),
     )
 

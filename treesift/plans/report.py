@@ -6,7 +6,7 @@ brings a file's, a rule's or the whole report's findings together in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treesift.dimensions import CATEGORIES, CROSS_LAYER_RANK, SECTIONS, SKIP_REASONS
@@ -112,12 +112,8 @@ def numbered(findings: DataFrame, order: list[Column] | None = None, name: str =
         "numbered",
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.alias("a").join(
-        F.broadcast(sizes.select(F.col("_part").alias("_p"), F.col("_size").alias("_n"))),
-        F.col("_p") < F.col("_part"),
-        "left",
-    )
-    offsets = before.groupBy("_part").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_offset"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, (F.col("_offset") + F.col("_place")).cast("bigint"))

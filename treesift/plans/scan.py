@@ -253,14 +253,15 @@ def scan_files(
 
     uncovered = every.where(F.col("reason").isin("generated", "unreadable", "unparseable")).select("path")
     covered = texts.select("path").join(uncovered.distinct(), "path", "left_anti")
-    counted = (
-        report.counts(kept)
-        .join(F.broadcast(covered.agg(F.count(F.lit(1)).alias("files_scanned"))))
-        .join(F.broadcast(every.agg(F.count(F.lit(1)).alias("files_skipped"))))
+    counted = report.counts(kept).select(
+        covered.agg(F.count(F.lit(1))).scalar().alias("files_scanned"),
+        every.agg(F.count(F.lit(1))).scalar().alias("files_skipped"),
+        "defects",
+        "observations",
     )
     return Scan(
         findings=report.numbered(report.visible(kept, include_observations)),
-        counts=counted.select("files_scanned", "files_skipped", "defects", "observations"),
+        counts=counted,
         skips=every,
         dependencies=dependencies,
         cve=advisories.status(dependencies, offline),

@@ -97,6 +97,6 @@ def precision(expectations: DataFrame, findings: DataFrame) -> DataFrame:
     correct = defects.alias("f").join(wanted.alias("e"), _same_place(), "left_semi")
     returned = defects.agg(F.count(F.lit(1)).alias("returned"))
     right = correct.agg(F.count(F.lit(1)).alias("correct"))
-    return right.join(F.broadcast(returned)).withColumn(
+    return right.withColumn("returned", returned.scalar()).withColumn(
         "percent", F.round(F.try_divide(F.col("correct") * 100, F.col("returned")), 2)
     )
