@@ -13,7 +13,7 @@ from treesift.sources import python_facts, script_facts
 
 
 def _python(t):
-    files = t.derive(PYTHON_FILES).repartition("path")
+    files = t.derive(PYTHON_FILES)
     return written(python_facts.facts(files, provenance.SINK_LEAVES), "check-python")
 
 
@@ -66,7 +66,7 @@ def python_rule_findings(t):
 )
 def python_parse_failures(t):
     return python_facts.facts(
-        t.derive(PYTHON_FILES).repartition("path"), provenance.SINK_LEAVES
+        t.derive(PYTHON_FILES), provenance.SINK_LEAVES
     ).where("fact = 'unparseable'").select("path", "fact")
 
 
@@ -166,5 +166,5 @@ _SCRIPT = """
     ),
 )
 def script_rule_findings(t):
-    files = t.derive(SCRIPT_FILES).repartition("path")
+    files = t.derive(SCRIPT_FILES)
     return _flat(script_rules.findings(script_facts.facts(files)))

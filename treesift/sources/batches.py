@@ -14,9 +14,13 @@ ROWS_PER_BATCH = 4096
 def rows_from_texts(files: DataFrame, read: Callable[[str], list[dict]], shape: str) -> DataFrame:
     """Apply ``read`` to every text; its rows get the file's path.
 
-    A narrow stage: rows leave in bounded Arrow batches, so memory does not grow with how many
-    rows one batch of texts gives.
+    Texts are dealt out by a hash of the path first: reading syntax costs a hundred times more per
+    byte than moving it, so neighbouring huge files must not share a task, and the number of
+    partitions is given so that adaptive execution does not merge a CPU-bound stage by its bytes.
+    Rows leave in bounded Arrow batches, so memory does not grow with how many rows one batch of
+    texts gives.
     """
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shaped = files.sparkSession.createDataFrame([], shape).schema
     schema = to_arrow_schema(shaped)
 
@@ -31,4 +35,5 @@ def rows_from_texts(files: DataFrame, read: Callable[[str], list[dict]], shape:
             if pending:
                 yield pa.RecordBatch.from_pylist(pending, schema=schema)
 
-    return files.select("path", "text").mapInArrow(run, shaped)
+    dealt = files.select("path", "text").repartition(partitions, "path")
+    return dealt.mapInArrow(run, shaped)
