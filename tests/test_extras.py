@@ -20,7 +20,7 @@ RULE = Rule("X-1", "t", "defect", "high", "high", ("LLM10",), "d", "r")
 
 def test_shipped_rules_are_valid(spark):
     ids = [m.rule.rule_id for m in validate(python_rules.rules())]
-    assert len(ids) == len(set(ids)) == 33
+    assert len(ids) == len(set(ids)) == 38
 
 
 @pytest.mark.parametrize(

@@ -17,6 +17,10 @@ CASES = {
         f"const promptB = `use {KEY} now`;\nconst note = `Hi ${{userName}}`\n",
         {("BAS-ZT1-003", 1), ("BAS-ZT4-003", 3), ("BAS-LLM08-002", 4)},
     ),
+    "t.ts": (
+        "const authToken = 'q8Z1x7Lm2Pw9'\nconst apiKey = `${env}`\nh({ A: \"Bearer " + "a1B2" * 5 + "\" })\n",
+        {("BAS-ZT1-011", 1), ("BAS-LLM02-005", 3)},
+    ),
     "c.ts": ("const prompt = `Hi ${user}`\nsend([{ role: 'user', content: prompt }])\n", set()),
     "d.tsx": (
         "const r = await generateText({ model, prompt })\nconst s = streamText({ model, maxOutputTokens: 5 })\n"

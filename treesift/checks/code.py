@@ -148,6 +148,7 @@ _SCRIPT = """
   UNION ALL SELECT path, k, 'BAS-ZT4-003', 'observation', 'high', 'high', 5, 1 FROM files WHERE k % 2 = 0
   UNION ALL SELECT path, k, 'BAS-ZT1-003', 'defect', 'critical', 'high', 6, 16 FROM files WHERE k % 5 = 0
       AND NOT regexp_matches(md5(CAST(k AS VARCHAR)), '(foo|0{8,}|1{8,})')
+  UNION ALL SELECT path, k, 'BAS-ZT1-011', 'defect', 'critical', 'high', 6, 1 FROM files WHERE k % 5 IN (0, 1)
   UNION ALL SELECT path, k, 'BAS-LLM03-002', 'observation', 'high', 'medium', 7, 1 FROM files WHERE k % 2 = 0 AND k % 3 <> 0
   UNION ALL SELECT path, k, 'BAS-LLM06-002', 'observation', 'low', 'medium', 8, 7 FROM files WHERE k % 2 = 1
   UNION ALL SELECT path, k, 'BAS-ZT2-002', 'defect', 'high', 'high', 9, 1 FROM files WHERE k % 6 = 0

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treesift.functions import credentials as cred
 from treesift.functions.paths import is_test_path
 from treesift.model import Rule
 from treesift.operators import provenance as flow
@@ -66,6 +67,10 @@ EMBEDDED_CREDENTIAL = (
     "|((?i:secret|token|password|api[_-]?key|private[_-]?key)[-_][0-9a-f]{12,})"
 )
 LOCAL_DSN = r"(?i)://[^\s/@]*:[^\s/@]*@(localhost|127\.0\.0\.1)([:/]|$)"
+# Chosen values: shapes of tokens and keys. Template syntax never matches the bearer shape.
+TOKEN_TEXT = r"^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$"
+ACCESS_KEY_TEXT = r"^AKIA(?![A-Z0-9]*EXAMPLE$)[A-Z0-9]{16}$"
+BEARER_TEXT = r"^Bearer\s+[A-Za-z0-9._~+/-]{16,}=*$"
 HIDDEN_MARKERS = "(?i)(<important>|<hidden>|do not mention|do not tell the user|present it as if)"
 OVERRIDE_PHRASES = (
     "(?i)(ignore (previous|prior|all) instructions|disregard (prior|previous)"
@@ -235,6 +240,11 @@ def _prompt_parts(*shapes: str) -> Column:
     )
 
 
+def credential_literal(name: Column, value: Column) -> Column:
+    """A credential-shaped name over a literal that is neither a placeholder nor prose."""
+    return cred.is_credential_key(name) & cred.is_hardcoded_value(value) & ~value.rlike(r"\s")
+
+
 def rules() -> list[Match]:
     """All Python rules. Ids, titles, levels and categories are fixed values."""
     call, first = _c("fact") == "call", _arg(0)
@@ -428,6 +438,40 @@ def rules() -> list[Match]:
             _rule("BAS-LLM03-030", "MCP tool declared destructive is invoked with no confirmation guard", "defect", "high", "medium", "LLM03", "A tool declared destructive acts without a guard.", CONFIRM),
             (_c("fact") == "function") & _no_guard() & _inside(destructive),
         ),
+        *credential_rules(),
+    ]
+
+
+def credential_rules() -> list[Match]:
+    """Credential literals known from published behaviour; their wording and severity are chosen."""
+    string, first = _c("fact") == "string", _arg(0)
+    rotate = "Load the value from the environment and rotate it."
+    last_name = F.regexp_extract(_c("name"), r"(\w+)\W*$", 1)
+    default = F.get(_c("args"), F.lit(1))
+    return [
+        Match(
+            _rule("BAS-ZT1-010", "Hardcoded credential assigned to a credential-named variable", "defect", "critical", "high", "ZT1", "A credential-named variable holds a literal.", rotate),
+            (_c("fact") == "assign") & (_c("callee") == "string") & credential_literal(last_name, _c("text")),
+        ),
+        Match(
+            _rule("BAS-ZT1-018", "Hardcoded JSON web token", "defect", "critical", "high", "ZT1", "A literal is a signed token.", rotate),
+            string & _c("text").rlike(TOKEN_TEXT),
+        ),
+        Match(
+            _rule("BAS-ZT1-019", "Hardcoded AWS access key id", "defect", "critical", "high", "ZT1", "A literal is an access key id.", rotate),
+            string & _c("text").rlike(ACCESS_KEY_TEXT),
+        ),
+        Match(
+            _rule("BAS-ZT1-020", "Credential-shaped default for an environment lookup", "defect", "high", "high", "ZT1", "The fallback of an environment lookup is a credential.", "Fail when the variable is missing."),
+            _is_call(r"^os\.(environ\.get|getenv)$")
+            & (first["kind"] == "string")
+            & (default["kind"] == "string")
+            & credential_literal(first["content"], default["content"]),
+        ),
+        Match(
+            _rule("BAS-LLM02-004", "Hardcoded bearer token", "defect", "high", "high", "LLM02", "An authorization header carries a literal token.", rotate),
+            string & _c("text").rlike(BEARER_TEXT),
+        ),
     ]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treesift.functions.paths import is_test_path
 from treesift.model import FINDING_FIELDS, finding
 from treesift.operators.python_rules import (
+    BEARER_TEXT,
     CONFIRM,
     EXECUTED,
     KEY_TEXT,
@@ -19,6 +20,7 @@ from treesift.operators.python_rules import (
     USER_NAMES,
     Match,
     _rule,
+    credential_literal,
 )
 from treesift.plans.report import merge_same_location
 
@@ -97,6 +99,14 @@ def rules() -> list[Match]:
             _rule("BAS-ZT2-002", "Wildcard tool grant in agent-construction code (JS)", "defect", "high", "high", "ZT2", "An agent is granted every tool, present and future.", "List the tools the agent needs."),
             (fact == "call") & name.rlike(GRANT_CALLEE) & (F.size("args") > 0) & _string(last) & (last["content"] == "*"),
         ),
+        Match(
+            _rule("BAS-ZT1-011", "Hardcoded credential assigned to a credential-named constant (JS/TS)", "defect", "critical", "high", "ZT1", "A credential-named constant holds a literal.", "Load the value from the environment and rotate it."),
+            (fact == "const") & credential_literal(name, first["content"]),
+        ),
+        Match(
+            _rule("BAS-LLM02-005", "Hardcoded bearer token (JS/TS)", "defect", "high", "high", "LLM02", "An authorization header carries a literal token.", "Load the value from the environment and rotate it."),
+            (fact == "string") & first["content"].rlike(BEARER_TEXT),
+        ),
     ]
 
 
