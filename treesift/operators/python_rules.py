@@ -550,7 +550,9 @@ def source_returns(facts: DataFrame) -> DataFrame:
 
 def wrapper_sinks(facts: DataFrame) -> DataFrame:
     """Functions that pass a parameter of theirs straight into a sink: kind and position."""
-    calls = facts.where("fact = 'call' AND fn_unique AND NOT coalesce(shadowed, false)")
+    calls = facts.where("fact = 'call' AND fn_unique AND NOT coalesce(shadowed, false)").where(
+        F.col("name").isin(*flow.SINK_LEAVES)
+    )
     passed = calls.select(
         "path",
         "fn",
@@ -572,6 +574,7 @@ def entry_point_forwards(facts: DataFrame) -> DataFrame:
     """Local functions an entry point calls with a value that is not closed."""
     calls = facts.where(
         (F.col("fact") == "call")
+        & F.col("local")
         & flow.is_entry_point(F.col("fn"), F.col("fn_decorators"))
         & F.col("callee").rlike(r"^(?:(?:self|cls)\.)?\w+$")
         & F.exists("args", lambda a: ~flow.is_closed(a))
@@ -582,7 +585,8 @@ def entry_point_forwards(facts: DataFrame) -> DataFrame:
 def wrapped_calls(facts: DataFrame, sink: str) -> DataFrame:
     """Calls of wrapper functions with the argument that ends up in the sink."""
     wrappers = wrapper_sinks(facts).where(F.col("sink") == sink)
-    calls = facts.where("fact = 'call' AND size(args) > 0").select(
+    # Only calls of functions the file defines can match; nothing else is shuffled.
+    calls = facts.where("fact = 'call' AND local AND size(args) > 0").select(
         "path", "name", "line", "col", "snippet", "args", "fn", "fn_decorators", "callee"
     ).where(F.col("callee").rlike(r"^(?:(?:self|cls)\.)?\w+$"))
     joined = calls.drop("callee").join(

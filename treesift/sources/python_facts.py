@@ -29,7 +29,7 @@ STATEMENT = (
 FACTS = (
     "path string, fact string, line bigint, col bigint, name string, text string, quote string,"
     f" callee string, receiver string, args array<{ARGUMENT}>, fn string, fn_decorators array<string>,"
-    " fn_params array<string>, fn_unique boolean, shadowed boolean,"
+    " fn_params array<string>, fn_unique boolean, local boolean, shadowed boolean,"
     f" outer array<array<string>>, statements array<{STATEMENT}>, keywords array<string>,"
     " messages array<string>, snippet string, start_line bigint, start_col bigint, start_snippet string"
 )
@@ -527,6 +527,7 @@ class _File:
                 *[self.argument(a, None, deep) for a in node.args],
                 *[self.argument(k.value, k.arg or "**", deep) for k in node.keywords],
             ],
+            local=leaf in self.functions,
             shadowed=bare and leaf in self.sinks and self.shadowed(node, leaf),
         )
 
