@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +51,33 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(
         table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, rule="largest"
     )
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm import language_id
+    from treesift.llm.common import crc_of_id
+
+    docs = table(spark, folder, "documents")
+    held = F.coalesce(crc_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs, ~held & F.col("doc_id").isNotNull())
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm import toxicity
+    from treesift.llm.common import crc_of_id
+
+    docs = table(spark, folder, "documents")
+    remainder = crc_of_id(F.col("doc_id")) % 5
+    learn = crc_of_id(F.col("id")) % 5 != 0
+    model = toxicity.fit(docs, table(spark, folder, "labels"), learn)
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id",
+        F.coalesce(remainder == 0, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
