@@ -81,3 +81,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op9_near_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
