@@ -88,3 +88,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from treesift.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm.decontamination import leaks
+
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.where("leaked").drop("leaked")
