@@ -1,23 +1,56 @@
-"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents.
+
+Models are trained on labelled rows among the documents that a stage is given: languages by their
+``lang``, toxicity by the table ``labels``. Each stage but the last keeps or drops whole documents and
+returns the columns it was given; the last returns the pieces of :mod:`treesift.llm.packing`.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treesift.llm import queries
+from treesift.llm import decontamination, language_id, near_dedup, packing, queries, toxicity
 from treesift.llm.common import shared_folder
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the documents kept, with its place in a sequence of at most 2048 tokens."""
-    from treesift.llm.packing import packed
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents whose language is rejected go."""
+    model = language_id.fit(docs, F.col("doc_id").isNotNull())
+    return language_id.known_languages(docs, model)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that score 0.5 or more go."""
+    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.without_toxic(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: the document with the smallest id of each group stays; links from a similarity of 0.8."""
+    return near_dedup.one_of_each(docs, percent=80)
+
+
+def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that hold a test item go."""
+    return decontamination.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
+
 
-    return packed(docs, public_tokenizers.path(queries.WORDS), queries.END_ID)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: every piece of every document, with its place in a sequence of at most 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path(queries.WORDS), queries.END_ID)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language", known_language),
+    ("toxicity", not_toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", not_leaked),
+    ("packing", packed),
+]
 
+# Classifiers, minhashes and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

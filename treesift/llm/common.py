@@ -67,3 +67,15 @@ def map_texts(
 def crc_of_id(column: Column) -> Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def keep_texts(
+    df: DataFrame, decide: Callable[[list[bytes]], list[bool]], text_col: str = "text"
+) -> DataFrame:
+    """The rows, with all their columns, whose text ``decide`` keeps. Nothing is shuffled."""
+
+    def run(batches):
+        for part in text_slices(batches, text_col):
+            yield part.filter(pa.array(decide(raw_texts(part, text_col)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

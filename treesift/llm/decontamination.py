@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm.common import map_texts, narrow, raw_texts
+from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts
 
 SHARE = 0.7
 BLOCK = 8
@@ -238,10 +238,39 @@ def leaks(
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
         found = found.union(map_texts(docs, worker, schema))
-    border = percent / 100
+    border = percent / 100  # as in is_leak
     leaked = ((F.col("question_overlap") >= border) & (F.col("answer_overlap") >= border)) | (
         F.col("item_overlap") >= border
     )
     found = found.withColumn("leaked", leaked)
     names = ["score", "question_overlap", "answer_overlap", "item_overlap", "leaked"]
     return found.groupBy("doc_id", "item_id").agg(*[F.max(n).alias(n) for n in names])
+
+
+def is_leak(question: float, answer: float, whole: float, percent: int) -> bool:
+    border = percent / 100
+    return (question >= border and answer >= border) or whole >= border
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    percent: int = 80,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item."""
+    kept = docs
+    for items in _shards(narrow(benchmark, item_id=item_col, text=item_text_col)):
+        index = ItemIndex.build(items)
+        if not index.ids:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SHARD_ITEMS and SHARD_BYTES
+
+        def decide(texts: list[bytes], shared=shared) -> list[bool]:
+            found = (shared.value.search(t.decode()).values() for t in texts)
+            return [not any(is_leak(q, a, w, percent) for _, q, a, w in hits) for hits in found]
+
+        kept = keep_texts(kept, decide, text_col)
+    return kept

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm.common import map_texts, narrow, raw_texts
+from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts
 from treesift.llm.sampling import SAMPLE_TEXT_BYTES, sample_by_class
 
 UNDETERMINED = "und"
@@ -241,3 +241,17 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     schema = "doc_id bigint, lang_pred string, score double, rejected boolean"
     return map_texts(narrow(docs, doc_id=id_col, text=text_col), worker, schema)
 
+
+
+def known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language the model does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide(texts: list[bytes]) -> list[bool]:
+        model = shared.value
+        if not model.languages:
+            return [False] * len(texts)
+        found = [worker_scorer(model).logits(t.decode()) for t in texts]
+        return [x is not None and float(_softmax(x / model.temperature).max()) >= model.threshold for x in found]
+
+    return keep_texts(docs, decide, text_col)

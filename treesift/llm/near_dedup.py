@@ -209,3 +209,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their group."""
+    found = near_duplicates(docs, percent, id_col, text_col)
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

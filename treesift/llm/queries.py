@@ -96,3 +96,28 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
     found = leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.where("leaked").drop("leaked")
+
+
+@query("op5_embedding_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm.embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm.host_reputation import Rule, judged
+
+    rules = [
+        Rule("allow", "com/"),
+        Rule("block", "example.com/en/"),
+        Rule("allow", "www.example.com/en/"),
+        Rule("block", "net/es/"),
+        Rule("block", "net/fr/"),
+    ]
+    labels = table(spark, folder, "labels")
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
+    outcomes = labels.where("toxic is not null or quality is not null")
+    outcomes = outcomes.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return judged(table(spark, folder, "pages"), outcomes, rules)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm.common import map_texts, narrow, raw_texts
+from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts
 from treesift.llm.sampling import SAMPLE_TEXT_BYTES, platt, sample_by_class
 
 DECAY = 0.6
@@ -363,3 +363,14 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         )
 
     return map_texts(narrow(docs, doc_id=id_col, text=text_col), worker, "doc_id bigint, score double")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, border: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score below ``border``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide(texts: list[bytes]) -> list[bool]:
+        scorer = worker_scorer(shared.value)
+        return (shared.value.score(np.array([scorer.margin(t.decode()) for t in texts])) < border).tolist()
+
+    return keep_texts(docs, decide, text_col)
