@@ -121,3 +121,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     outcomes = labels.where("toxic is not null or quality is not null")
     outcomes = outcomes.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return judged(table(spark, folder, "pages"), outcomes, rules)
+
+
+@query("op3_licence_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm import licence_scan
+
+    docs = table(spark, folder, "documents")
+    return licence_scan.scan(docs, licence_scan.fit(docs))
