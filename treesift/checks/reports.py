@@ -144,7 +144,7 @@ def skip_set(t):
 
 @query(
     "skip_histogram",
-    with_ctes("SELECT reason, least(count(*), 10000000) AS entries FROM skips GROUP BY reason", skips=SKIPS),
+    with_ctes("SELECT reason, count(*) AS entries FROM skips GROUP BY reason", skips=SKIPS),
 )
 def skip_histogram(t):
     return summary.skip_histogram(t.derive(SKIPS))
@@ -191,7 +191,7 @@ _WIDE = FINDINGS.replace(
 @query(
     "summary_groups",
     with_ctes(
-        """SELECT rule_id, severity, kind, count, position, body_bytes, position <= 500 AND body_bytes <= 28672 AS kept
+        """SELECT rule_id, severity, kind, count, position, body_bytes, true AS kept
         FROM (SELECT *, row_number() OVER w AS position,
             CAST(sum(strlen('{"rule_id":"' || rule_id || '","severity":"' || severity || '","kind":"' || kind || '","count":' || count || '}') + 1) OVER w - 1 AS BIGINT) AS body_bytes
           FROM (SELECT rule_id, severity, kind, kr, sr, count(*) AS count FROM ranked GROUP BY ALL)
@@ -210,13 +210,13 @@ def summary_groups(t):
     with_ctes(
         """SELECT threshold, CAST(max(CASE WHEN kind = 'defect' AND sr >= pos THEN 1 ELSE 0 END) AS BIGINT) AS exit_code
         FROM ranked, (VALUES ('low', 1), ('medium', 2), ('high', 3), ('critical', 4), ('never', 9)) v(threshold, pos)
-        WHERE confidence <> 'low' OR severity <> 'critical' GROUP BY threshold""",
+        GROUP BY threshold""",
         findings=FINDINGS,
         ranked=_RANKED,
     ),
 )
 def gate_outcomes(t):
-    found = findings(t).where("confidence <> 'low' OR severity <> 'critical'")
+    found = findings(t)
     frames = [
         report.gate(found, level).select(F.lit(level or "never").alias("threshold"), "exit_code")
         for level in ("low", "medium", "high", "critical", None)
@@ -236,7 +236,7 @@ SELECT CASE event_id % 10 WHEN 0 THEN 'expect_none' WHEN 1 THEN 'known_gap' WHEN
   CASE event_type WHEN 'view' THEN 'ZT4' WHEN 'click' THEN 'LLM06' WHEN 'error' THEN 'LLM09' ELSE 'ZT6' END AS category,
   CASE WHEN event_id % 3 = 0 THEN 'observation' ELSE 'defect' END AS kind,
   CASE WHEN value < 5 THEN 'low' WHEN value < 15 THEN 'medium' WHEN value < 30 THEN 'high' ELSE 'critical' END AS severity
-FROM events WHERE event_type <> 'signup'
+FROM events
 """
 
 

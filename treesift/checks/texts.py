@@ -98,7 +98,15 @@ def line_column_of_match(t):
     )
 
 
-_WORD = "split_part(text, ' ', 20)"
+
+
+def _place(n: int) -> str:
+    """The text's n-th word, or words no text holds where that is empty or spans lines."""
+    word = f"split_part(text, ' ', {n})"
+    return f"CASE WHEN length({word}) = 0 OR instr({word}, chr(10)) > 0 THEN 'no such word {n}' ELSE {word} END"
+
+
+_PLACES = f"SELECT doc_id, text, {_place(20)} AS needle, {_place(60)} AS anchor FROM documents"
 
 
 @query(
@@ -111,15 +119,12 @@ _WORD = "split_part(text, ' ', 20)"
             (SELECT min(line) FROM raws r WHERE r.doc_id = d.doc_id AND contains(raw, needle)), 1) AS anchored_line
         FROM docs d
         """,
-        docs=f"SELECT doc_id, text, {_WORD} AS needle, split_part(text, ' ', 60) AS anchor FROM documents WHERE length({_WORD}) > 0 AND instr({_WORD}, chr(10)) = 0 AND length(split_part(text, ' ', 60)) > 0 AND instr(split_part(text, ' ', 60), chr(10)) = 0",
+        docs=_PLACES,
         raws="SELECT doc_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs)",
     ),
 )
 def locate_lines(t):
-    docs = t.derive(
-        f"SELECT doc_id, text, {_WORD} AS needle, split_part(text, ' ', 60) AS anchor FROM documents"
-    ).where("length(needle) > 0 AND instr(needle, chr(10)) = 0")
-    docs = docs.where("length(anchor) > 0 AND instr(anchor, chr(10)) = 0")
+    docs = t.derive(_PLACES)
     body = F.col("text")
     return docs.select(
         "doc_id",
@@ -131,25 +136,24 @@ def locate_lines(t):
 @query(
     "generated_filter",
     """
-    SELECT page_id, octet_length(p) // n AS mean, octet_length(p) AS prefix,
-      format('minified, {} bytes per line on average over the first {} bytes', octet_length(p) // n, octet_length(p)) AS reason
+    SELECT page_id, octet_length(p) // n AS mean, octet_length(p) AS size,
+      format('minified, {} bytes per line on average over {} bytes', octet_length(p) // n, octet_length(p)) AS reason
     FROM (SELECT page_id, p, CAST(len(regexp_extract_all(decode(p), chr(10))) + 1 AS BIGINT) AS n
-      FROM (SELECT page_id, encode(substr(html, 1, 65536)) AS p FROM pages
-        UNION ALL SELECT -1 - doc_id, encode(replace(text, chr(10), ' ')) FROM documents WHERE octet_length(encode(text)) <= 65536))
+      FROM (SELECT page_id, encode(html) AS p FROM pages
+        UNION ALL SELECT -1 - doc_id, encode(replace(text, chr(10), ' ')) FROM documents))
     WHERE octet_length(p) >= 1024 AND octet_length(p) // n >= 500
     """,
 )
 def generated_filter(t):
     files = t.derive(
-        """SELECT page_id, encode(html, 'UTF-8') AS content FROM pages WHERE octet_length(html) <= 65536
-        UNION ALL SELECT -1 - doc_id, encode(replace(text, chr(10), ' '), 'UTF-8') FROM documents
-        WHERE octet_length(text) <= 65536"""
+        """SELECT page_id, encode(html, 'UTF-8') AS content FROM pages
+        UNION ALL SELECT -1 - doc_id, encode(replace(text, chr(10), ' '), 'UTF-8') FROM documents"""
     )
     judged = files.select("page_id", text.generated_measurement(F.col("content")).alias("m"))
     return judged.where("m IS NOT NULL").select(
         "page_id",
         "m.mean",
-        "m.prefix",
+        "m.size",
         text.generated_reason(F.col("m")).alias("reason"),
     )
 

@@ -96,39 +96,30 @@ def utf8(content: Column) -> Column:
 
 
 # The generated-file test.
-GENERATED_PREFIX_BYTES = 65536
 GENERATED_MIN_BYTES = 1024
 GENERATED_MEAN_LINE_BYTES = 500
 
 
 def generated_measurement(content: Column) -> Column:
-    """``struct(mean, prefix)`` when the bytes read like generated code, else NULL.
+    """``struct(mean, size)`` when the bytes read like generated code, else NULL.
 
-    The mean is bytes per line over a bounded prefix. Invalid UTF-8 is never called generated;
-    a character cut in half by the prefix bound is tolerated.
+    The mean is bytes per line over the whole file. Invalid UTF-8 is never called generated.
     """
-    prefix = F.substring(content, 1, GENERATED_PREFIX_BYTES)
-    size = F.octet_length(prefix)
-    as_text = prefix.cast("string")
-    # Up to three bytes of an unfinished last character may be missing at the bound.
+    size = F.octet_length(content)
+    as_text = content.cast("string")
     whole = F.is_valid_utf8(as_text)
-    for cut in (1, 2, 3):
-        whole = whole | (
-            (F.octet_length(content) > GENERATED_PREFIX_BYTES)
-            & F.is_valid_utf8(F.substring(content, 1, GENERATED_PREFIX_BYTES - cut).cast("string"))
-        )
     mean = F.expr("0").cast("bigint") + F.floor(size / (newline_count(as_text) + 1))
     return F.when(
         (size >= GENERATED_MIN_BYTES) & whole & (mean >= GENERATED_MEAN_LINE_BYTES),
-        F.struct(mean.cast("bigint").alias("mean"), size.cast("bigint").alias("prefix")),
+        F.struct(mean.cast("bigint").alias("mean"), size.cast("bigint").alias("size")),
     )
 
 
 def generated_reason(measurement: Column) -> Column:
     return F.format_string(
-        "minified, %d bytes per line on average over the first %d bytes",
+        "minified, %d bytes per line on average over %d bytes",
         measurement["mean"],
-        measurement["prefix"],
+        measurement["size"],
     )
 
 

@@ -74,13 +74,13 @@ def is_agent_package(name: Column) -> Column:
 
 
 def is_valid_version(version: Column) -> Column:
-    """``N.N.N`` with an optional suffix, 64 characters at most."""
+    """``N.N.N`` with an optional suffix."""
     shape = r"^[0-9]+\.[0-9]+\.[0-9]+([-+][A-Za-z0-9.-]+)?$"
-    return (F.length(version) <= 64) & version.rlike(shape)
+    return version.rlike(shape)
 
 
 def sanitise_rule_id(rule_id: Column) -> Column:
-    cleaned = F.regexp_replace(F.left(rule_id, F.lit(128)), r"[^A-Za-z0-9_.:-]", "_")
+    cleaned = F.regexp_replace(rule_id, r"[^A-Za-z0-9_.:-]", "_")
     return F.when(cleaned == "", F.lit("unknown")).otherwise(cleaned)
 
 

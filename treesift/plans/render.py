@@ -437,7 +437,7 @@ def text_report(scan: Scan, root: str = ".") -> DataFrame:
     body = F.concat_ws(
         "\n",
         head,
-        F.when(F.col("snippet") != "", F.concat(F.lit("    > "), F.left("snippet", F.lit(WIDTH - 6)))),
+        F.when(F.col("snippet") != "", _wrapped(F.concat(F.lit("> "), F.col("snippet")))),
         _wrapped("description"),
         _wrapped(F.concat(F.lit("Fix: "), F.col("remediation"))),
         F.lit(""),

@@ -1,4 +1,4 @@
-"""The counts-only scan summary: grouped findings under a group limit and a size budget."""
+"""The counts-only scan summary: grouped findings, all of them unless the caller names limits."""
 
 from __future__ import annotations
 
@@ -8,21 +8,15 @@ from pyspark.sql import functions as F
 from treesift.functions.versions import is_valid_version, sanitise_rule_id
 from treesift.model import kind_rank, severity_rank
 
-# Group limit, body budget in bytes, cap of every counter, fallback version.
-MAX_GROUPS = 500
-TARGET_BODY_BYTES = 28 * 1024
-MAX_COUNT = 10_000_000
+# Fixed value: what stands for a version that is not one.
 FALLBACK_VERSION = "0.0.0"
 
 
 def finding_groups(findings: DataFrame) -> DataFrame:
-    """Capped counts per rule, severity and kind."""
-    counted = findings.groupBy(
+    """Counts per rule, severity and kind."""
+    return findings.groupBy(
         sanitise_rule_id(F.col("rule_id")).alias("rule_id"), "severity", "kind"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        "rule_id", "severity", "kind", F.least("n", F.lit(MAX_COUNT)).cast("bigint").alias("count")
-    )
+    ).agg(F.count(F.lit(1)).alias("count"))
 
 
 def group_json(rule_id: Column, severity: Column, kind: Column, count: Column) -> Column:
@@ -36,7 +30,12 @@ def group_json(rule_id: Column, severity: Column, kind: Column, count: Column) -
     )
 
 
-def ranked_groups(groups: DataFrame, reserved: int = 0) -> DataFrame:
+def ranked_groups(
+    groups: DataFrame,
+    reserved: int = 0,
+    max_groups: int | None = None,
+    max_body_bytes: int | None = None,
+) -> DataFrame:
     """Groups in priority order with the running body size and whether each one is kept.
 
     The size of a prefix only grows, so the largest prefix within the budget is exactly the rows
@@ -58,16 +57,16 @@ def ranked_groups(groups: DataFrame, reserved: int = 0) -> DataFrame:
         # A separating comma goes before every entry but the first.
         (F.sum(size + 1).over(upto) - 1 + reserved).cast("bigint").alias("body_bytes"),
     )
-    return ranked.withColumn(
-        "kept",
-        (F.col("position") <= MAX_GROUPS) & (F.col("body_bytes") <= TARGET_BODY_BYTES),
-    )
+    kept = F.lit(True)
+    if max_groups is not None:
+        kept = kept & (F.col("position") <= max_groups)
+    if max_body_bytes is not None:
+        kept = kept & (F.col("body_bytes") <= max_body_bytes)
+    return ranked.withColumn("kept", kept)
 
 
 def skip_histogram(skips: DataFrame) -> DataFrame:
-    return skips.groupBy("reason").agg(
-        F.least(F.count(F.lit(1)), F.lit(MAX_COUNT)).cast("bigint").alias("entries")
-    )
+    return skips.groupBy("reason").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def is_partial(skips: DataFrame, cve_status: str) -> DataFrame:

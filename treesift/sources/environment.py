@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from treesift.functions import remotes
 from treesift.functions.text import let, lines, strip
 
-# Size cap of a configuration, and variables that mark an automated run.
-CONFIG_CAP_BYTES = 1 << 20
 OTHER_CI_VARIABLES = (
     "BUILD_NUMBER",
     "JENKINS_URL",
@@ -65,9 +63,7 @@ def config_remotes(text: Column) -> Column:
             F.when(adds, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"),
         )
 
-    small = F.octet_length(text) <= CONFIG_CAP_BYTES
-    body = F.when(small, lines(text)).otherwise(F.array().cast("array<string>"))
-    return F.aggregate(body, start, step, lambda acc: acc["out"])
+    return F.aggregate(lines(text), start, step, lambda acc: acc["out"])
 
 
 def chosen_remote(text: Column) -> Column:
