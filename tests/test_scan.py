@@ -65,7 +65,7 @@ def scan(spark, root):
         ADVISORY,
     )
     options = WalkOptions(excludes=("bad/",))
-    return scan_tree(spark, root, options, include_observations=True, advisory_table=table, offline=False)
+    return scan_tree(spark, root, options, include_observations=True, advisory_table=table, offline=False, skip_generated=True)
 
 
 def test_findings(scan):
@@ -121,7 +121,7 @@ def test_same_result_with_other_partitioning(spark, root, scan):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
-        again = scan_tree(spark, root, WalkOptions(excludes=("bad/",)), include_observations=True)
+        again = scan_tree(spark, root, WalkOptions(excludes=("bad/",)), include_observations=True, skip_generated=True)
         a = again.findings.where("rule_id <> 'BAS-CVE-001'").drop("index")
         b = scan.findings.where("rule_id <> 'BAS-CVE-001'").drop("index")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -158,3 +158,31 @@ def test_globs():
     with pytest.raises(InvalidPatternError):
         glob_regex("a[")
     assert F is not None
+
+
+def test_files_with_two_claims_and_odd_ignore_files(spark, tmp_path):
+    (tmp_path / ".env.py").write_text("DB_PASSWORD=hunter2million\n")
+    (tmp_path / "Dockerfile.js").write_text("FROM x\nUSER root\n")
+    (tmp_path / "bom.py").write_text("\ufeffimport os\nfor c in client.responses.create(q):\n    eval(c)\n")
+    (tmp_path / ".gitignore").write_text("*.txt\n*.tmp\n#\nkept.py\n")
+    (tmp_path / ".ignore").write_text("!kept.py\n")
+    (tmp_path / "kept.py").write_text("eval(client.responses.create(" + ", ".join(f"g{k}(x)" for k in range(600)) + "))\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / ".gitignore").write_bytes(b"\xff\xfe\n")
+    found = scan_tree(spark, str(tmp_path), include_observations=True)
+    got = {(r.rule_id, r.file) for r in found.findings.select("rule_id", "location.file").collect()}
+    assert ("BAS-INFRA-001", "Dockerfile.js") in got
+    assert any(rule.startswith("BAS-ZT1-02") and file == ".env.py" for rule, file in got)
+    assert {("BAS-LLM10-001", "bom.py"), ("BAS-LLM10-001", "kept.py")} <= got
+    assert ("unreadable", "sub/.gitignore") in {(r.reason, r.path) for r in found.skips.collect()}
+
+
+def test_many_small_files_are_read_by_more_than_one_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from treesift.sources import tree
+
+    listed = spark.range(400).select(F.concat(F.lit("f"), "id").alias("path"), F.lit(10).cast("bigint").alias("length"))
+    monkeypatch.setattr(tree, "FILES_PER_TASK", 100)
+    assert tree.read_tasks(listed) == 4
+    assert tree.read_tasks(listed.withColumn("length", F.lit(1 << 20))) == 7

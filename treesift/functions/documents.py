@@ -66,8 +66,19 @@ def document_format(path: Column) -> Column:
 
 
 def canonical_json(kind: Column, text: Column) -> Column:
-    """The document as JSON text, or NULL when it does not parse (or was not asked for)."""
-    return _canonical(kind, text)
+    """The document as JSON text, or NULL when it does not parse (or was not asked for).
+
+    JSON that the engine itself parses stays as it is; Python reads YAML and TOML, and JSON with
+    repeated members or constants that only Python accepts.
+    """
+    # The engine's reader stops after the first value; what follows shows inside brackets of both kinds.
+    alone = F.try_parse_json(text).isNotNull()
+    for before, after in (("[", "]"), ('{"x":', "}")):
+        alone = alone & F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = alone & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    native = F.when((kind == "json") & alone, text)
+    return F.coalesce(native, _canonical(F.when(native.isNull(), kind), text))
 
 
 def member(document: Column, path: str, kind: str = "string") -> Column:

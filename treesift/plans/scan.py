@@ -58,25 +58,28 @@ class Scan:
         return report.gate(self.findings, fail_on)
 
 
-def stage() -> F.Column:
-    """Which folder a file's text is written to; NULL for files nothing claims."""
+def stages() -> F.Column:
+    """The folders a file's text is written to, one for each kind of claim; none if nothing claims it."""
     path = F.col("path")
     language = paths.language(path)
-    claims = paths.analysers(path)
-    return (
-        F.when(language == "python", "python")
-        .when(language.isNotNull(), "script")
-        .when(paths.is_manifest(path), "manifest")
-        .when(F.size(claims) > 0, "config")
+    config = paths.is_mcp_config(path) | paths.is_compose(path) | paths.is_dockerfile(path)
+    config = config | paths.is_instruction_file(path) | paths.is_skill(path) | paths.is_dotenv(path)
+    return F.array_compact(
+        F.array(
+            F.when(language == "python", "python").when(language.isNotNull(), "script"),
+            F.when(paths.is_manifest(path), "manifest"),
+            F.when(config, "config"),
+        )
     )
 
 
-def staged(files: DataFrame) -> DataFrame:
-    """Claimed files with decoded text and the generated-file measurement, one folder per stage."""
-    sized = F.when(paths.language(F.col("path")).isNotNull(), generated_measurement(F.col("content")))
+def staged(files: DataFrame, skip_generated: bool) -> DataFrame:
+    """Claimed files with decoded text, one row and folder per claim, and for the rules the
+    generated-file measurement if ``skip_generated``."""
+    rules = F.lit(skip_generated) & F.col("stage").isin("python", "script")
+    sized = F.when(rules, generated_measurement(F.col("content")))
     return written(
-        files.withColumn("stage", stage())
-        .where("stage IS NOT NULL")
+        files.withColumn("stage", F.explode(stages()))
         .select("path", utf8(F.col("content")).alias("text"), sized.alias("generated"), "stage"),
         "staged",
         partition_by="stage",
@@ -186,10 +189,15 @@ def scan_files(
     offline: bool = True,
     include_observations: bool = False,
     skips: DataFrame | None = None,
+    skip_generated: bool = False,
 ) -> Scan:
-    """Scan a table of files (columns ``path`` and ``content``)."""
+    """Scan a table of files (columns ``path`` and ``content``).
+
+    A file that several analysers claim goes to all of them. With ``skip_generated`` the rules leave
+    out files whose bytes read like generated code, and a note says so.
+    """
     spark = files.sparkSession
-    texts = staged(files)
+    texts = staged(files, skip_generated)
     readable = texts.where("text IS NOT NULL")
 
     def of(name: str) -> DataFrame:
@@ -252,7 +260,7 @@ def scan_files(
     every = written(every.distinct(), "skips")
 
     uncovered = every.where(F.col("reason").isin("generated", "unreadable", "unparseable")).select("path")
-    covered = texts.select("path").join(uncovered.distinct(), "path", "left_anti")
+    covered = texts.select("path").distinct().join(uncovered.distinct(), "path", "left_anti")
     counted = report.counts(kept).select(
         covered.agg(F.count(F.lit(1))).scalar().alias("files_scanned"),
         every.agg(F.count(F.lit(1))).scalar().alias("files_skipped"),

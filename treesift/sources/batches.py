@@ -6,21 +6,32 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 ROWS_PER_BATCH = 4096
+BYTES_PER_TASK = 16 << 20
+FILES_PER_TASK = 20_000
 
 
 def rows_from_texts(files: DataFrame, read: Callable[[str], list[dict]], shape: str) -> DataFrame:
     """Apply ``read`` to every text; its rows get the file's path.
 
     Texts are dealt out by a hash of the path first: reading syntax costs a hundred times more per
-    byte than moving it, so neighbouring huge files must not share a task, and the number of
-    partitions is given so that adaptive execution does not merge a CPU-bound stage by its bytes.
+    byte than moving it, so neighbouring huge files must not share a task. The number of partitions
+    follows the bytes and the number of texts, so that a task's work does not grow with the input,
+    and is given so that adaptive execution does not merge a CPU-bound stage by its bytes.
     Rows leave in bounded Arrow batches, so memory does not grow with how many rows one batch of
     texts gives.
     """
-    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = files.agg(
+        F.count("path").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")
+    ).first()
+    partitions = max(
+        int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        -(-size["bytes"] // BYTES_PER_TASK),
+        -(-size["n"] // FILES_PER_TASK),
+    )
     shaped = files.sparkSession.createDataFrame([], shape).schema
     schema = to_arrow_schema(shaped)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -33,11 +34,12 @@ FACTS = (
     f" outer array<array<string>>, statements array<{STATEMENT}>, keywords array<string>,"
     " messages array<string>, snippet string, start_line bigint, start_col bigint, start_snippet string"
 )
-MAX_DEPTH = 64
-MAX_ATOMS = 512
 _STRING = re.compile(
     r"(?s)([A-Za-z]*)(\"\"\"|'''|\"|')((?:[^\\]|\\.)*?)\2$"
 )
+_RECURSION = 1_000_000
+# A path of steps this long ends in an unknown leaf: paths grow with the square of the depth.
+MAX_DEPTH = 64
 _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BRANCHING = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.TryStar, ast.ExceptHandler, ast.match_case)
@@ -47,6 +49,9 @@ class _File:
     """One parsed text: parents, positions, scopes, bindings, and slices on demand."""
 
     def __init__(self, text: str, sinks: frozenset[str]):
+        # A byte-order mark is no Python, but it is a column of the first line.
+        self.mark = int(text.startswith("\ufeff"))
+        text = text[self.mark :]
         self.tree = ast.parse(text)
         self.rows = [line.encode() for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)]
         self.sinks = sinks
@@ -55,6 +60,7 @@ class _File:
         self.bindings: dict[ast.AST, dict[str, list[tuple]]] = {self.tree: {}}
         self.functions: dict[str, int] = {}
         self.memo: dict[ast.AST, tuple] = {}
+        self.cut = False
         self.disturbances: dict[ast.AST, tuple[set[str], set[str]]] = {}
         self.rebinders: dict[str, list[ast.AST]] | None = None
         self.scopes: dict[ast.AST, ast.AST] = {self.tree: self.tree}
@@ -90,7 +96,8 @@ class _File:
         return b"".join([*parts, self.rows[last][: node.end_col_offset]]).decode()
 
     def position(self, node: ast.AST) -> tuple[int, int]:
-        return node.lineno, len(self.rows[node.lineno - 1][: node.col_offset].decode()) + 1
+        mark = self.mark if node.lineno == 1 else 0
+        return node.lineno, mark + len(self.rows[node.lineno - 1][: node.col_offset].decode()) + 1
 
     def line_text(self, line: int) -> str:
         return self.rows[line - 1].decode().strip()
@@ -133,7 +140,11 @@ class _File:
         elif isinstance(node, ast.AugAssign):
             self._add(node.target, None, node)
         elif isinstance(node, (ast.For, ast.AsyncFor)):
-            self._add(node.target, None, node.iter)
+            self._add(node.target, node.iter, node.iter)
+        elif isinstance(node, ast.ExceptHandler) and node.name is not None:
+            place = node.type or node
+            end, chain = (place.end_lineno, place.end_col_offset), (*self.branches(node), (id(node), "body"))
+            self.bindings[self.scope(node)].setdefault(node.name, []).append((end, chain, node.type))
         elif isinstance(node, ast.withitem) and node.optional_vars is not None:
             self._add(node.optional_vars, node.context_expr, node.context_expr)
 
@@ -160,13 +171,16 @@ class _File:
     def slice(self, node: ast.AST | None, depth: int = 0, seen: frozenset = frozenset()):
         """``(atoms, conflict)``: the leaves a value is built from."""
         if node is None or depth > MAX_DEPTH or node in seen:
+            self.cut = self.cut or depth > MAX_DEPTH
             return frozenset({("unknown", "", ())}), False
-        if node not in self.memo:
-            atoms, conflict = self._slice(node, depth, seen | {node})
-            if len(atoms) > MAX_ATOMS:
-                atoms = frozenset({("unknown", "", ())})
-            self.memo[node] = (atoms, conflict)
-        return self.memo[node]
+        if node in self.memo:
+            return self.memo[node]
+        before, self.cut = self.cut, False
+        found = self._slice(node, depth, seen | {node})
+        if not self.cut:  # what was cut short here may be whole from a nearer place
+            self.memo[node] = found
+        self.cut = self.cut or before
+        return found
 
     def _slice(self, node: ast.AST, depth: int, seen: frozenset):
         literal, unknown = ("literal", "", ()), ("unknown", "", ())
@@ -620,10 +634,13 @@ def _atoms(atoms: frozenset) -> list[dict]:
 
 def facts_of(text: str, sinks: frozenset[str]) -> list[dict]:
     """Fact rows of one text; a text that does not parse gives one ``unparseable`` row."""
+    # Calls between Python functions take no C stack, so depth is bounded by the parser alone.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), _RECURSION))
     try:
-        return list(_File(text, sinks).facts())
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        read = _File(text, sinks)
+    except (SyntaxError, ValueError, RecursionError):
         return [{"fact": "unparseable"}]
+    return list(read.facts())
 
 
 def facts(files: DataFrame, sinks: tuple[str, ...]) -> DataFrame:

@@ -1,7 +1,7 @@
 """A directory tree as tables: listing, ignore files, exclusions, hidden paths, contents.
 
 Listing goes level by level: one Spark job lists all directories of a level, so a wide tree is
-listed by as many tasks as there are directories and nothing but the root passes the driver.
+listed by as many tasks as its directories need and nothing but the root passes the driver.
 Which paths survive is decided relationally on the listed names, before any content is read.
 """
 
@@ -23,9 +23,15 @@ from treesift.functions.paths import (
     file_name,
     skipped_directory,
 )
+from treesift.functions.text import utf8
 from treesift.session import written
 
 IGNORE_NAMES = (".gitignore", ".ignore")
+# Ranks below this step order the lines of one ignore file; the steps order the files of a directory.
+MOST_LINES = 1 << 32
+DIRECTORIES_PER_TASK = 200
+FILES_PER_TASK = 20_000
+BYTES_PER_TASK = 64 << 20
 ENTRY = "path string, is_dir boolean, length bigint"
 PATTERN = "dir string, rank bigint, pattern string, regex string, negated boolean, dir_only boolean"
 
@@ -115,14 +121,18 @@ def exclude_patterns(spark: SparkSession, options: WalkOptions) -> DataFrame:
 
 
 def ignore_patterns(ignore_files: DataFrame) -> DataFrame:
-    """Patterns of ignore files (columns ``path`` and ``text``), later lines ranked higher."""
+    """Patterns of ignore files (columns ``path`` and ``text``), later lines ranked higher.
+
+    In one directory ``.gitignore`` gives way to ``.ignore``, and both to a custom ignore file.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, text in zip(batch["path"], batch["text"], strict=True):
-                directory = path.rpartition("/")[0]
-                for rank, line in enumerate((text or "").splitlines()):
+                directory, _, name = path.rpartition("/")
+                first = {".gitignore": 0, ".ignore": 1}.get(name, 2) * MOST_LINES
+                for rank, line in enumerate((text or "").splitlines(), first):
                     try:
                         compiled = glob_regex(line)
                     except InvalidPatternError:
@@ -326,10 +336,13 @@ def list_tree(spark: SparkSession, root: str, options: WalkOptions) -> DataFrame
         )
         files = listed.where("NOT is_dir").select("path", "length")
         found = files if found is None else found.unionByName(files)
-        level = listed.where("is_dir").select("path").repartition("path")
+        level = listed.where("is_dir").select("path")
         depth += 1
-        if listed.where("is_dir").isEmpty():
+        directories = level.count()
+        if not directories:
             break
+        # The number is given: adaptive execution would merge by the bytes of the path strings.
+        level = level.repartition(max(1, -(-directories // DIRECTORIES_PER_TASK)), "path")
     return found if found is not None else spark.createDataFrame([], "path string, length bigint")
 
 
@@ -353,20 +366,31 @@ def load(files: DataFrame, root: str) -> DataFrame:
     return files.select("path").mapInPandas(read, "path string, content binary")
 
 
+def read_tasks(claimed: DataFrame) -> int:
+    """Tasks for reading listed files: by their bytes, and by their number."""
+    size = claimed.agg(F.count("path").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    return max(1, -(-size["bytes"] // BYTES_PER_TASK), -(-size["n"] // FILES_PER_TASK))
+
+
 def read_tree(
     spark: SparkSession, root: str, options: WalkOptions | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(files with content, skips)`` of a directory; only claimed files are opened.
 
-    Reading is spread by a hash of the path, so that neighbouring huge files part ways.
+    Reading is spread by a hash of the path, so that neighbouring huge files part ways, over as many
+    tasks as the listed bytes and the number of files need.
     """
     options = options or WalkOptions()
     listed = written(list_tree(spark, root, options), "listing")
     ignores = None
+    unreadable = spark.createDataFrame([], "reason string, path string, detail string, line string")
     if options.respect_ignore_files:
         names = listed.where(file_name(F.col("path")).isin(*options.ignore_files()))
-        texts = load(names, root).select("path", F.decode("content", "UTF-8").alias("text"))
-        ignores = written(ignore_patterns(texts), "patterns")
+        texts = written(load(names, root).select("path", utf8(F.col("content")).alias("text")), "ignores")
+        ignores = written(ignore_patterns(texts.where("text IS NOT NULL")), "patterns")
+        unreadable = texts.where("text IS NULL").select(
+            F.lit("unreadable").alias("reason"), "path", F.lit("").alias("detail"), F.col("path").alias("line")
+        )
     kept, skips = select_files(listed, ignores, options)
     claimed = kept.where(F.size(analysers(F.col("path"))) > 0)
-    return load(claimed.repartition("path"), root), skips
+    return load(claimed.repartition(read_tasks(claimed), "path"), root), skips.unionByName(unreadable)

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from treesift.functions.text import utf8
-from treesift.plans.scan import Scan, config_findings, scan_files, stage
+from treesift.plans.scan import Scan, config_findings, scan_files, stages
 
 
 def config_stream(files: DataFrame) -> DataFrame:
     """Findings of configuration files (``path``, ``content``) as a streaming table."""
-    texts = files.where(stage() == "config").select("path", utf8(F.col("content")).alias("text"))
+    texts = files.where(F.array_contains(stages(), "config")).select("path", utf8(F.col("content")).alias("text"))
     return config_findings(texts.where("text IS NOT NULL"))
 
 
