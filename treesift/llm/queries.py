@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treesift.llm.host_reputation import Rule
+from treesift.llm.oracle import host_filter
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 WORDS = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 1
+URL_RULES = [
+    Rule("allow", "com/"),
+    Rule("block", "example.com/en/"),
+    Rule("allow", "www.example.com/en/"),
+    Rule("block", "net/es/"),
+    Rule("block", "net/fr/"),
+]
+ORACLE["op2_url_filter"] = host_filter(URL_RULES)
 
 
 def query(name: str):
@@ -107,20 +118,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_url_filter")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    from treesift.llm.host_reputation import Rule, judged
-
-    rules = [
-        Rule("allow", "com/"),
-        Rule("block", "example.com/en/"),
-        Rule("allow", "www.example.com/en/"),
-        Rule("block", "net/es/"),
-        Rule("block", "net/fr/"),
-    ]
+    from treesift.llm.host_reputation import judged
+
     labels = table(spark, folder, "labels")
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
     outcomes = labels.where("toxic is not null or quality is not null")
     outcomes = outcomes.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return judged(table(spark, folder, "pages"), outcomes, rules)
+    return judged(table(spark, folder, "pages"), outcomes, URL_RULES)
 
 
 @query("op3_licence_scan")
