@@ -50,3 +50,21 @@ def found(spark):
 @pytest.mark.parametrize("path", CASES)
 def test_case(found, path):
     assert {(r.rule_id, r.line) for r in found if r.file == path} == CASES[path][1]
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["const a = <li>a) first</li>", "const p = <p>Hello :) world</p>;", r"if (a) /\(/.test(b)", "const s = <p>`</p>"],
+)
+def test_brackets_in_markup_and_patterns_cost_no_other_finding(line):
+    from treesift.sources.script_facts import facts_of
+
+    found = facts_of(line + "\neval(x)\n")
+    assert ("call", "eval", 2) in {(r["fact"], r["name"], r["line"]) for r in found}
+
+
+@pytest.mark.parametrize("text", ["f(\n", "x = {\n eval(z)", "f({a: [1, 2)\neval(y)"])
+def test_broken_texts_give_nothing_else(text):
+    from treesift.sources.script_facts import facts_of
+
+    assert [r["fact"] for r in facts_of(text)] == ["unparseable"]

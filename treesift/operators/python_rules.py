@@ -606,6 +606,10 @@ def wrapped_calls(facts: DataFrame, sink: str) -> DataFrame:
 def findings(facts: DataFrame, extra: list[Match] | None = None) -> DataFrame:
     """Findings of all Python rules, and of rules the caller adds, one per location."""
     table = [*rules(), *(extra or [])]
+    if extra:
+        from treesift.operators.rule_checks import validate
+
+        validate(table)
     wrapped = wrapped_calls(facts, "code_execution").withColumn("index", F.lit(0))
     found = candidates(facts, table).unionByName(wrapped)
     # One row per rule, a fixed number whatever the data.

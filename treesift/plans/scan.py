@@ -190,11 +190,13 @@ def scan_files(
     include_observations: bool = False,
     skips: DataFrame | None = None,
     skip_generated: bool = False,
+    incomplete: DataFrame | None = None,
 ) -> Scan:
     """Scan a table of files (columns ``path`` and ``content``).
 
     A file that several analysers claim goes to all of them. With ``skip_generated`` the rules leave
-    out files whose bytes read like generated code, and a note says so.
+    out files whose bytes read like generated code, and a note says so. ``incomplete`` holds the pins
+    whose advisories could not all be read; the lookup then counts as partial.
     """
     spark = files.sparkSession
     texts = staged(files, skip_generated)
@@ -272,7 +274,7 @@ def scan_files(
         counts=counted,
         skips=every,
         dependencies=dependencies,
-        cve=advisories.status(dependencies, offline),
+        cve=advisories.status(dependencies, offline, incomplete),
         files=texts.select("path", "stage"),
     )
 

@@ -1,11 +1,13 @@
 """JavaScript and TypeScript texts as fact rows: calls, constructions, constants, strings.
 
 A tolerant token reader, scoped to what the rules look at: it knows comments, the three quotes,
-template holes, regular expressions and brackets. Unbalanced brackets make a text unparseable.
+template holes, regular expressions and brackets. Brackets without a partner make a text unparseable,
+unless their line has tags or a slash: there they can be text or part of a pattern.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from pyspark.sql import DataFrame
 
@@ -35,6 +37,11 @@ _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "typeof", "funct
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 
+_STRAY = "\0"
+# Openers looked back through for a closer's partner.
+_NEAR = 64
+
+
 class _Unbalanced(ValueError):
     pass
 
@@ -79,7 +86,12 @@ def _tokens(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     out, at, last = [], start, ""
     while at < end:
         if text[at] == "`":
-            stop, _ = _template(text, at)
+            try:
+                stop, _ = _template(text, at)
+            except _Unbalanced:  # text between tags, say: a mark like any other
+                out.append(("punct", at, at + 1))
+                at, last = at + 1, "`"
+                continue
             out.append(("template", at, stop))
             at, last = stop, "`"
             continue
@@ -101,7 +113,9 @@ def _tokens(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
 class _Script:
     def __init__(self, text: str):
         self.text = text
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.out: list[dict] = []
+        self.broken = False
         self.messages: set[str] = set()
         self.read(0, len(text))
 
@@ -116,12 +130,18 @@ class _Script:
             if words[i] in "([{":
                 stack.append(i)
             elif words[i] in _CLOSE:
-                if not stack or words[stack[-1]] != _CLOSE[words[i]]:
-                    raise _Unbalanced
-                partner[i] = stack[-1]
-                partner[stack.pop()] = i
-        if stack:
-            raise _Unbalanced
+                # A closer pairs with its nearest opener. Openers above that one, and closers without
+                # any, can be text between tags, or a pattern read as a division.
+                opener = _CLOSE[words[i]]
+                if any(words[k] == opener for k in reversed(stack[-_NEAR:])):
+                    while words[stack[-1]] != opener:
+                        self.stray(tokens, words, stack.pop())
+                    partner[i] = stack[-1]
+                    partner[stack.pop()] = i
+                else:
+                    self.stray(tokens, words, i)
+        for i in stack:
+            self.stray(tokens, words, i)
         view = (tokens, words, partner)
         for i, (kind, s, e) in enumerate(tokens):
             if kind == "string":
@@ -136,13 +156,21 @@ class _Script:
             elif words[i] == "{":
                 self.message(view, i)
 
+    def stray(self, tokens, words, i: int) -> None:
+        """A bracket without a partner: text if its line has tags or a slash, else a broken file."""
+        words[i] = _STRAY
+        row = bisect.bisect_left(self.breaks, tokens[i][1])
+        line = self.text[self.breaks[row - 1] + 1 if row else 0 : self.breaks[row] if row < len(self.breaks) else None]
+        self.broken = self.broken or not ("/" in line or ("<" in line and ">" in line))
+
     def add(self, fact: str, at: int, name: str | None, args: list[dict]) -> None:
-        before = self.text.rfind("\n", 0, at)
-        after = self.text.find("\n", at)
+        row = bisect.bisect_left(self.breaks, at)
+        before = self.breaks[row - 1] if row else -1
+        after = self.breaks[row] if row < len(self.breaks) else -1
         self.out.append(
             {
                 "fact": fact,
-                "line": self.text.count("\n", 0, at) + 1,
+                "line": row + 1,
                 "col": at - before,
                 "name": name,
                 "snippet": self.text[before + 1 : after if after >= 0 else None].strip(),
@@ -263,6 +291,8 @@ def facts_of(text: str) -> list[dict]:
     except (_Unbalanced, RecursionError, IndexError):
         return [dict.fromkeys(COLUMNS) | {"fact": "unparseable"}]
     messages = sorted(script.messages)
+    if script.broken:
+        return [dict.fromkeys(COLUMNS) | {"fact": "unparseable"}]
     return [row | {"messages": messages if row["fact"] == "const" else []} for row in script.out]
 
 
