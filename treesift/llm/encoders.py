@@ -20,7 +20,7 @@ _TAIL = re.compile(
 )
 # A run of ASCII marks at a chunk's end, after an ASCII letter or digit.
 _RUN = re.compile(rb"(.*[a-z0-9])([.,;:!?*#$%&)]+)\Z", re.S)
-_KEPT = 1_000_000
+_KEPT = 700_000
 
 
 class _Known(dict):
