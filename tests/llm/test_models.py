@@ -188,13 +188,15 @@ def test_hosts(spark):
 def test_training_samples_are_bounded(spark, make):
     from pyspark.sql import functions as F
 
-    from treesift.llm.sampling import sample_by_class
+    from treesift.llm.sampling import sample_by_class, sampled_texts
 
-    rows = make([(k, f"t{k}") for k in range(3000)]).select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 7 == 0).alias("label"))
-    sample = sample_by_class(rows, "label", 100, "s", F.col("id"))
-    sizes = [sum(r["label"] == c for r in sample) for c in (True, False)]
+    docs = make([(k, f"t{k}") for k in range(3000)]).select(F.col("doc_id").alias("id"), "text")
+    keys = docs.select("id", (F.col("id") % 7 == 0).alias("label"))
+    sample = sample_by_class(keys, 100, "s")
+    sizes = [sum(y == c for _, y in sample) for c in (True, False)]
     assert all(80 <= s <= 100 for s in sizes)
-    assert sample == sample_by_class(rows.repartition(7), "label", 100, "s", F.col("id"))
+    assert sample == sample_by_class(keys.repartition(7), 100, "s")
+    assert sorted(sampled_texts(docs, sample)) == sorted((f"t{i}", y) for i, y in sample)
 
 
 @pytest.mark.parametrize("a,b", [(2.0, -1.0), (0.5, 3.0)])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts
-from treesift.llm.sampling import SAMPLE_TEXT_BYTES, sample_by_class
+from treesift.llm.sampling import sample_by_class, sampled_texts
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -197,11 +197,10 @@ def fit(
     per_class: int = 500,
 ) -> LanguageModel:
     """Train on labelled rows for which ``learn`` holds."""
-    rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = narrow(rows, id=id_col, text=text_col, label=label_col).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    sample = sample_by_class(rows, "label", per_class, "language", F.col("id"))
-    order = np.random.default_rng(3).permutation(len(sample))
-    return train([sample[i]["text"] for i in order], [sample[i]["label"] for i in order])
+    labelled = docs.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    sample = sample_by_class(narrow(labelled, id=id_col, label=label_col), per_class, "language")
+    rows = sampled_texts(narrow(docs, id=id_col, text=text_col), sample)
+    return train([t for t, _ in rows], [y for _, y in rows])
 
 
 _CURRENT: list = []  # the worker's model and its scorer

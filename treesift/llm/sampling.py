@@ -3,38 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Longer texts are left out of training samples (never of predictions), which bounds their bytes.
 SAMPLE_TEXT_BYTES = 50_000
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, seed: str, order: Column) -> list:
-    """About ``per_class`` rows of each class at most, to the driver.
+def sample_by_class(keys: DataFrame, per_class: int, seed: str) -> list[tuple]:
+    """(``id``, ``label``) of about ``per_class`` rows of each label at most.
 
-    Counts by class come first; a row is taken if a hash of ``order`` falls under its class's share. The
+    Counts by label come first; a row is taken if a hash of its id falls under its label's share. The
     draw is Poisson, trimmed to ``per_class``, so that its size does not grow with the table.
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = {c: min(1.0, 1.2 * per_class / n) for c, n in counts.items()}
-    shares = rows.sparkSession.createDataFrame([(c, s) for c, s in share.items()], f"{label} {dict(rows.dtypes)[label]}, _share double")
-    draw = F.pmod(F.xxhash64(F.lit(seed), order), F.lit(1_000_003))
-    taken = (
-        rows.withColumn("_draw", draw)
-        .join(F.broadcast(shares), label)
-        .where(F.col("_draw") < F.col("_share") * 1_000_003)
-        .drop("_share")
-        .collect()
-    )
+    kind = dict(keys.dtypes)["label"]
+    shares = [(c, min(1.0, 1.2 * per_class / n)) for c, n in counts.items()]
+    shares = keys.sparkSession.createDataFrame(shares, f"label {kind}, share double")
+    drawn = keys.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003)))
+    drawn = drawn.join(F.broadcast(shares), "label").where(F.col("draw") < F.col("share") * 1_000_003)
     kept: dict = {}
-    for row in sorted(taken, key=lambda r: (r["_draw"], repr(r["id"]), r["text"])):
-        group = kept.setdefault(row[label], [])
+    for row in sorted(drawn.select("id", "label", "draw").collect(), key=lambda r: (r["draw"], repr(r["id"]))):
+        group = kept.setdefault(row["label"], [])
         if len(group) < per_class:
-            group.append(row)
-    return [row for c in sorted(kept, key=repr) for row in kept[c]]
+            group.append((row["id"], row["label"]))
+    return [pair for c in sorted(kept, key=repr) for pair in kept[c]]
+
+
+def sampled_texts(docs: DataFrame, sample: list[tuple], seed: int = 3) -> list[tuple[str, object]]:
+    """(text, label) of the sampled ids, in an order that mixes the labels. ``docs``: ``id``, ``text``."""
+    if not sample:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in dict(sample)], f"id {dict(docs.dtypes)['id']}")
+    found = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES))
+    found = found.join(F.broadcast(ids), "id").select("id", "text").collect()  # as many as were sampled
+    labels = dict(sample)
+    rows = [(r["text"], labels[r["id"]]) for r in sorted(found, key=lambda r: (repr(r["id"]), r["text"]))]
+    return [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[float, float]:

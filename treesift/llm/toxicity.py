@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts
-from treesift.llm.sampling import SAMPLE_TEXT_BYTES, platt, sample_by_class
+from treesift.llm.sampling import platt, sample_by_class, sampled_texts
 
 DECAY = 0.6
 SPAN = 9
 WINDOW = 24
 CODES = 64
-_UNITS_KEPT = 500_000
+_UNITS_KEPT = 250_000
 _SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?]\s|\n")
 _EDGES = ".,;:!?*#$%&()\"'"
@@ -343,12 +343,11 @@ def fit(
     label_col: str = "toxic", per_class: int = 1200,
 ) -> ToxicityModel:
     """Train on labelled documents for which ``learn`` (over the id, named ``id``) holds."""
-    rows = narrow(docs, id=id_col, text=text_col).where(learn & F.col("text").isNotNull())
-    rows = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    ids = narrow(docs, id=id_col).where(learn & F.col("id").isNotNull())
     marks = narrow(labels, id=id_col, label=label_col).where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    sample = sample_by_class(rows.join(marks, "id"), "label", per_class, "toxicity", F.col("id"))
-    order = np.random.default_rng(3).permutation(len(sample))
-    return train([sample[i]["text"] for i in order], [int(sample[i]["label"]) for i in order])
+    sample = sample_by_class(ids.join(marks, "id"), per_class, "toxicity")
+    rows = sampled_texts(narrow(docs, id=id_col, text=text_col), sample)
+    return train([t for t, _ in rows], [int(y) for _, y in rows])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
