@@ -65,10 +65,7 @@ class LicenceModel:
     weights: dict[str, tuple[float, ...]]  # by n-gram, in the order of the families
     temperature: float
     least: float
-
-    @property
-    def anchors(self) -> list[str]:
-        return sorted({w for g in self.weights for w in g.split()})
+    anchors: tuple[str, ...]  # every n-gram with a weight holds one
 
 
 def _sample(docs: DataFrame) -> list[str]:
@@ -141,7 +138,8 @@ def fit(
     unknown = families.index(UNKNOWN)
     most = np.delete(probabilities(temperature), unknown, axis=1).max(axis=1)[truth == unknown]
     least = max(0.5, float(np.quantile(most, 1 - false_share))) if len(most) else 0.5
-    return LicenceModel(tuple(families), tuple(map(float, bias)), weights, temperature, min(least, 0.9))
+    used = tuple(sorted(anchors & {w for g in weights for w in g.split()}))
+    return LicenceModel(tuple(families), tuple(map(float, bias)), weights, temperature, min(least, 0.9), used)
 
 
 def scan(
