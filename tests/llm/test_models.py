@@ -180,7 +180,7 @@ def test_hosts(spark):
     plain = {r["host"]: r for r in judged(pages, known, []).collect()}
     assert plain["bad.example.com"]["verdict"] == plain["worse.spam.net"]["verdict"] == "block"
     assert plain["good.example.com"]["verdict"] == plain["calm.org"]["verdict"] == plain["small.example.com"]["verdict"] == "allow"
-    assert plain["new.spam.net"]["low"] > plain["calm.org"]["low"]
+    assert plain["new.spam.net"]["verdict"] == "allow"  # a bad domain alone is no bound
     assert judged(pages.limit(0), known, rules).count() == 0
     assert {r["verdict"] for r in judged(pages, known.limit(0), []).collect()} == {"allow"}
 
