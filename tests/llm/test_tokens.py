@@ -1,6 +1,7 @@
 """Token files, packing and token counts against plain encodings of whole texts."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,10 +22,15 @@ ODD = [
 ]
 
 
-def plain_ids(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(PATH)
+
+
+def plain_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def crc(ids):
