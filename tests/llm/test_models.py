@@ -132,6 +132,18 @@ def test_licence_paragraphs(spark, make, folder):
     assert S.scan(make([]), S.fit(make([]))).count() == 0
 
 
+def test_licence_anchors_do_not_depend_on_the_corpus(spark, make):
+    from treesift.llm import licence_scan as S
+
+    footer = "Text is available under the Creative Commons Attribution-ShareAlike License"
+    docs = make([(k, footer if k % 3 == 0 else f"and{k % 50} the of plain words") for k in range(600)] + [(1000, "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.")])
+    model = S.fit(docs)
+    assert {"creative", "commons", "attribution", "sharealike"} <= set(model.anchors)
+    rows = S.scan(docs, model).collect()
+    assert [(r["family"], r["confirmed"]) for r in rows if r["doc_id"] == 1000] == [("cc-by-sa", True)]
+    assert {r["doc_id"] for r in rows if r["family"] == "cc-by-sa"} == {1000, *range(0, 600, 3)}
+
+
 def test_licence_scan_runs_no_python(spark, folder):
     from treesift.llm.queries import QUERIES
 

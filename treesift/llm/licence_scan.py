@@ -1,8 +1,8 @@
 """Licence scan: sparse logistic regression over word n-grams of paragraphs, confirmed by templates.
 
 The scan is made of DataFrame functions alone. Paragraphs are the lines of a text. Features are the runs
-of one to three words of the templates that hold an *anchor*, a template word that few paragraphs of the
-corpus have. A multinomial logistic regression with an elastic net is trained on templates, on parts of
+of one to three words of the templates that hold an *anchor*, a template word that is no function word;
+what the corpus holds does not change them. A multinomial logistic regression with an elastic net is trained on templates, on parts of
 them, on parts amid corpus words, and on a bounded sample of corpus paragraphs for the class *unknown*.
 
 A paragraph without an anchor has no feature and is unknown, so only paragraphs that meet the table of
@@ -35,7 +35,14 @@ from treesift.llm.licence_templates import NO_LICENCE, TEMPLATES
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 3000
 SAMPLE_BYTES = 4000
-ANCHOR_SHARE = 0.01
+# Fixed values. Words that say nothing of licences: every other template word is an anchor, whatever the corpus holds.
+FUNCTION_WORDS = frozenset(
+    "a all an and are as at be by can for from has have in is it its may not of on or that the this to with you your".split()
+)
+# A line with several of these resembles a notice; it teaches nothing about the unknown.
+NAMES = frozenset(
+    "affero apache attribution bsd cc commons creative gnu lesser mit mozilla nc noncommercial sa sharealike unencumbered".split()
+)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -89,12 +96,9 @@ def fit(
     templates = [(family, _words(text)) for family, _, text in TEMPLATES]
     known = [set(_grams(w, 2)) - set(w) for _, w in templates]
     # The corpus holds notices too: what resembles a template teaches nothing about the unknown.
-    lines = [w for w in lines if w and all(len(k & set(_grams(w, 2))) < 0.5 * len(k) for k in known)]
-    present: dict[str, int] = {}
-    for line in lines:
-        for w in set(line):
-            present[w] = present.get(w, 0) + 1
-    anchors = {w for _, t in templates for w in t if present.get(w, 0) <= ANCHOR_SHARE * len(lines)}
+    lines = [w for w in lines if w and len(NAMES & set(w)) < 2]
+    lines = [w for w in lines if all(len(k & set(_grams(w, 2))) < 0.5 * len(k) for k in known)]
+    anchors = {w for _, t in templates for w in t} - FUNCTION_WORDS
     vocabulary = sorted({g for _, t in templates for g in _grams(t) if anchors & set(g.split())})
     families = sorted({family for family, _ in templates} | {UNKNOWN})
     filler = [w for line in lines[:400] for w in line[:12]] or ["and"]
