@@ -144,6 +144,28 @@ def test_licence_anchors_do_not_depend_on_the_corpus(spark, make):
     assert {r["doc_id"] for r in rows if r["family"] == "cc-by-sa"} == {1000, *range(0, 600, 3)}
 
 
+@pytest.mark.parametrize("mark", ["# ", " * "])
+def test_wrapped_licence_headers(spark, make, mark):
+    import textwrap
+
+    from treesift.llm import licence_scan as S
+    from treesift.llm.licence_templates import TEMPLATES
+
+    rng = np.random.default_rng(3)
+    noise = [(1000 + k, " ".join(f"and{int(x)} the of" for x in rng.integers(0, 50, 20))) for k in range(300)]
+    long = [x for x in TEMPLATES if len(x[2]) > 76]
+    cases = []
+    for k, (_, _, t) in enumerate(long):
+        rows = ["int main;", "", "Copyright (c) 2020 Someone", *textwrap.wrap(t, 70), "", "More words."]
+        cases.append((k, "\n".join((mark + r).rstrip() for r in rows)))
+    docs = make(noise + cases)
+    rows = [r for r in S.scan(docs, S.fit(docs)).collect() if r["confirmed"]]
+    assert {(r["doc_id"], r["paragraph"], r["family"], r["template"]) for r in rows} == {
+        (k, 3, family, name) for k, (family, name, _) in enumerate(long)
+    }
+    assert len(rows) == len(long)
+
+
 def test_licence_scan_runs_no_python(spark, folder):
     from treesift.llm.queries import QUERIES
 

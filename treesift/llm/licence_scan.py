@@ -1,18 +1,20 @@
 """Licence scan: sparse logistic regression over word n-grams of paragraphs, confirmed by templates.
 
-The scan is made of DataFrame functions alone. Paragraphs are the lines of a text. Features are the runs
+The scan is made of DataFrame functions alone. A paragraph is a line of a text, or a run of neighbouring
+lines up to a blank one that a wrapped notice starting in the first of them can take; comment marks count
+as white space. A run stands for itself where a template crosses its lines. Features are the runs
 of one to three words of the templates that hold an *anchor*, a template word that is no function word;
 what the corpus holds does not change them. A multinomial logistic regression with an elastic net is trained on templates, on parts of
 them, on parts amid corpus words, and on a bounded sample of corpus paragraphs for the class *unknown*.
 
-A paragraph without an anchor has no feature and is unknown, so only paragraphs that meet the table of
-anchors go on; their n-grams meet the table of weights, and sums by paragraph give the classes' odds. Both
-tables are bounded by the templates and broadcast. The unknown class is calibrated on paragraphs kept out
+A paragraph without an anchor has no feature and is unknown, so only lines with an anchor, and runs with
+two, go on; their n-grams meet the table of weights, and sums by paragraph give the classes' odds. The
+table is bounded by the templates and broadcast. The unknown class is calibrated on paragraphs kept out
 of training: a temperature, and the least probability at which a family is believed, above what all but
 ``false_share`` of corpus paragraphs reach. A prediction is confirmed if the best template of its family
 has at least ``border`` of its word trigrams in the paragraph.
 
-Result: one row per paragraph that is not unknown. Null and empty texts have none. Rows that repeat both
+Result: one row per line at which paragraphs that are not unknown start, and family. Null and empty texts have none. Rows that repeat both
 id and paragraph at the same place count once; a null id is kept as null. Ties between classes go to the
 name that sorts first. An empty table gives no rows; other columns are not read.
 """
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treesift.llm.common import narrow
@@ -44,6 +46,8 @@ NAMES = frozenset(
     "affero apache attribution bsd cc commons creative gnu lesser mit mozilla nc noncommercial sa sharealike unencumbered".split()
 )
 _WORD = re.compile(r"[a-z0-9]+")
+# Comment marks made of letters; all others are no words anyway.
+_MARKS = r"(?i)^\s*(?:rem|dnl|@rem)\s+"
 
 
 def _words(text: str) -> list[str]:
@@ -54,10 +58,43 @@ def _grams(words: list[str], most: int = 3) -> list[str]:
     return [" ".join(words[k : k + n]) for n in range(1, most + 1) for k in range(len(words) - n + 1)]
 
 
+LONGEST = max(len(_words(text)) for _, _, text in TEMPLATES)
+
+
 def words_of(paragraph: Column) -> Column:
     return F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def line_words(line: Column) -> Column:
+    """Words of a line without the comment marks that are words."""
+    return words_of(F.regexp_replace(line, _MARKS, ""))
+
+
+def notice_run(lines: Column, at: Column) -> Column:
+    """Words of the lines that a notice starting in line ``at`` can take, line by line, up to a blank one.
+
+    A notice has at most ``LONGEST`` words: so many at the end of its first line and at the start of its
+    last, and no more between them.
+    """
+    first = F.get(lines, at)
+    start = F.struct(
+        F.array(F.slice(first, F.greatest(F.lit(1), F.size(first) - (LONGEST - 1)), LONGEST)).alias("parts"),
+        F.lit(0).alias("between"),
+        (F.size(first) > 0).alias("open"),
+    )
+
+    def add(run: Column, line: Column) -> Column:
+        longer = F.struct(
+            F.concat(run["parts"], F.array(F.slice(line, 1, LONGEST))).alias("parts"),
+            (run["between"] + F.size(line)).alias("between"),
+            (run["between"] + F.size(line) < LONGEST - 1).alias("open"),
+        )
+        closed = F.struct(run["parts"].alias("parts"), run["between"].alias("between"), F.lit(False).alias("open"))
+        return F.when(run["open"] & (F.size(line) > 0), longer).otherwise(closed)
+
+    return F.aggregate(F.slice(lines, at + 2, LONGEST), start, add, lambda run: run["parts"])
+
+
 def grams_of(words: Column, n: int) -> Column:
     """Runs of ``n`` words; none if there are fewer."""
     starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
@@ -111,6 +148,9 @@ def fit(
             around = [str(w) for w in rng.choice(filler, int(rng.integers(0, 12)))]
             cut = int(rng.integers(0, len(around) + 1))
             rows.append((family, around[:cut] + words[start : start + size] + around[cut:]))
+        for _ in range(4):  # as in a run, whose first and last line hold other words
+            around = [[str(w) for w in rng.choice(filler, int(rng.integers(0, 50)))] for _ in range(2)]
+            rows.append((family, around[0] + words + around[1]))
         for _ in range(2):  # a few words of a template are no notice
             size = max(1, len(words) // 5)
             start = int(rng.integers(0, len(words) - size + 1))
@@ -149,20 +189,25 @@ def fit(
 def scan(
     docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", border: float = 0.8
 ) -> DataFrame:
-    """``doc_id``, ``paragraph`` (its place), ``family``, ``probability``, ``template``, ``similarity`` and
+    """``doc_id``, ``paragraph`` (its first line), ``family``, ``probability``, ``template``, ``similarity`` and
     ``confirmed`` of every paragraph that is not unknown."""
     spark = docs.sparkSession
     docs = narrow(docs, doc_id=id_col, text=text_col)
-    anchors = spark.createDataFrame([(w,) for w in model.anchors] or [("",)], "word string")
     weights = spark.createDataFrame(
         [(g, list(w)) for g, w in model.weights.items()] or [("", [0.0] * len(model.families))], "gram string, weight array<double>"
     )
     templates = spark.createDataFrame([(f, n, _words(t)) for f, n, t in TEMPLATES], "family string, template string, tw array<string>")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    words = lines.withColumn("word", F.explode(F.split(F.lower("line"), "[^a-z0-9]+")))
-    met = words.join(F.broadcast(anchors), "word", "left_semi").select("doc_id", "paragraph", "line").distinct()
-    met = met.withColumn("words", words_of(F.col("line")))
-    key = ["doc_id", "paragraph", "words"]
+    lines = F.transform(F.split("text", "\n"), line_words)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("body"), lines.alias("lines"))
+    # A single line, and the run of lines that a notice starting in it can take.
+    place = ["doc_id", "body", "paragraph"]
+    forms = F.transform("lines", lambda line, at: F.array(F.array(line), notice_run(F.col("lines"), at)))
+    met = docs.select("doc_id", "body", F.posexplode(forms).alias("paragraph", "forms"))
+    met = met.select(*place, F.posexplode("forms").alias("run", "parts")).where(F.size("parts") > F.col("run"))
+    met = met.withColumn("words", F.flatten("parts"))
+    shared = F.size(F.array_intersect("words", F.array(*map(F.lit, model.anchors or ("",)))))
+    met = met.where(shared > F.col("run")).distinct()
+    key = [*place, "run", "parts", "words"]
     grams = F.array_distinct(F.concat(*[grams_of(F.col("words"), n) for n in (1, 2, 3)]))
     hits = met.select(*key, F.explode(grams).alias("gram")).join(F.broadcast(weights), "gram")
     sums = hits.groupBy(*key).agg(*[F.sum(F.col("weight")[i]).alias(f"s{i}") for i in range(len(model.families))])
@@ -178,13 +223,27 @@ def scan(
             best = F.greatest(best, p)
     named = sums.withColumn("top", top).select(*key, family.alias("family"), (best / total).alias("probability"))
     named = named.where(F.col("probability") >= model.least)
-    shared = F.size(F.array_intersect(grams_of(F.col("words"), 3), grams_of(F.col("tw"), 3)))
-    compared = named.join(F.broadcast(templates), "family").withColumn(
-        "similarity", shared / F.size(F.array_distinct(grams_of(F.col("tw"), 3)))
-    )
-    found = compared.groupBy(*key, "family", "probability").agg(
-        F.max_by("template", F.struct("similarity", "template")).alias("template"), F.max("similarity").alias("similarity")
+    goal = grams_of(F.col("tw"), 3)
+
+    def similarity(words: Column) -> Column:
+        return F.size(F.array_intersect(grams_of(words, 3), goal)) / F.size(F.array_distinct(goal))
+
+    compared = named.join(F.broadcast(templates), "family").withColumn("similarity", similarity(F.col("words")))
+    # A run counts where a template crosses its lines, at the last line from which the whole of it follows.
+    neighbours = Window.partitionBy("doc_id", "body", "run", "family", "template").orderBy("paragraph")
+    beside = {}
+    for way, step in ((F.lead, 1), (F.lag, -1)):
+        near = way(F.struct("paragraph", "similarity")).over(neighbours)
+        beside[step] = F.when(near["paragraph"] == F.col("paragraph") + step, near["similarity"])
+    best = F.array_max(F.transform("parts", similarity))
+    compared = compared.withColumn("after", beside[1]).withColumn("before", beside[-1])
+    crossing = (F.col("similarity") > best) & (F.col("similarity") > F.coalesce("after", F.lit(0.0)))
+    crossing = crossing & (F.col("similarity") >= F.coalesce("before", F.lit(0.0)))
+    compared = compared.where((F.col("run") == 0) | crossing)
+    found = compared.groupBy(*place, "family").agg(
+        F.max_by(F.struct("template", "similarity", "probability"), F.struct("similarity", "template", -F.col("run"))).alias("best")
     )
     return found.select(
-        "doc_id", "paragraph", "family", "probability", "template", "similarity", (F.col("similarity") >= border).alias("confirmed")
+        "doc_id", "paragraph", "family", "best.probability", "best.template", "best.similarity",
+        (F.col("best.similarity") >= border).alias("confirmed"),
     )
