@@ -159,6 +159,16 @@ def test_embeddings_against_all_pairs(spark, block_bytes):
     assert embedding_duplicates(docs.limit(0)).count() == 0
 
 
+def test_embeddings_with_empty_blocks(spark):
+    from treesift.llm.embedding_dedup import embedding_duplicates
+
+    base = np.random.default_rng(5).normal(size=16)
+    rows = [(i, (base * (i + 1)).tolist(), 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = embedding_duplicates(docs, block_bytes=16 * 4).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(i, 11, 0) for i in range(12)}
+
+
 def test_quantisation_bound_holds():
     from treesift.llm.embedding_dedup import Block
 

@@ -76,14 +76,14 @@ def linked_pairs(x: Block, y: Block, threshold: float) -> tuple[np.ndarray, np.n
 
 
 def _tile(threshold: float):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["side", "block"]).sort_values(["side", "block"])
         sides = {0: [], 1: []}
         for row in frame.itertuples():
             if len(row.rows):
                 nodes, copies, vectors = zip(*((r["node"], r["copies"], r["vector"]) for r in row.rows))
                 sides[row.side].append((row.block, Block(nodes, copies, vectors)))
-        own = not sides[1]  # a group with itself
+        own = key[2] == key[3]  # a group with itself; the other one may have no vector
         all_nodes, starts = [], {}
         for side in (0, 1):
             for block, b in sides[side]:
