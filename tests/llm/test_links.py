@@ -235,6 +235,20 @@ def test_leaks_against_plain_search(make, spark, monkeypatch):
     assert D.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_a_leak_is_not_hidden_by_a_better_whole_overlap(make, spark):
+    from treesift.llm import decontamination as D
+
+    question, answer = "one two three four five six", "red blue green gold pink grey"
+    items = spark.createDataFrame([(1, f"{question}? {answer}.")], "item_id bigint, text string")
+    parted = f"{question} pad pad pad pad pad {answer}"
+    partial = f"{question} red blue green"
+    docs = make([(1, parted), (2, partial), (3, " ".join([parted, "pad " * 60, partial])), (4, " ".join([partial, "pad " * 63, parted]))])
+    found = {r["doc_id"]: r for r in D.leaks(docs, items).collect()}
+    assert {i for i, r in found.items() if r["leaked"]} == {1, 3, 4}
+    assert found[3]["item_overlap"] == found[2]["item_overlap"] > found[1]["item_overlap"]
+    assert [r["doc_id"] for r in D.without_leaks(docs, items).collect()] == [2]
+
+
 def test_wand_retrieves_all_above_the_threshold():
     from treesift.llm import decontamination as D
 

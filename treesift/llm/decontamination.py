@@ -13,7 +13,8 @@ most ``SHARD_ITEMS`` items and ``SHARD_BYTES`` of text; each shard is one more p
 
 Verification: 5-word shingles (or the whole, if shorter) of the item's question and answer within the
 passage. The answer is what follows the last question mark, else the last sentence if there are several.
-An item is leaked if both overlaps, or the overlap of the whole item, reach ``percent`` / 100.
+An item is leaked if in any retrieved passage both overlaps, or the overlap of the whole item, reach
+``percent`` / 100; scores and overlaps are reported of the passage with the best whole overlap.
 
 Null and empty texts hold nothing; null and empty items match nothing; a null item id is kept as null.
 Items that repeat an id count as one id, with the best of their scores. Rows that repeat a document
@@ -168,10 +169,10 @@ class ItemIndex:
         rows, blocks = np.nonzero(bounds >= self.least[None, :] * (1 - 1e-5))
         return list(zip(rows.tolist(), blocks.tolist()))
 
-    def search(self, text: str) -> dict[int, tuple[float, float, float, float]]:
-        """By item: the best score, and overlaps of question, answer and whole."""
+    def search(self, text: str, percent: int) -> dict[int, tuple[float, float, float, float, bool]]:
+        """By item: the best score, overlaps of question, answer and whole, and whether any passage leaks it."""
         words = words_of(text)
-        best: dict[int, tuple[float, float, float, float]] = {}
+        best: dict[int, tuple[float, float, float, float, bool]] = {}
         step = self.cell * max(1, _CELLS // self.cell)
         for k in range(0, len(words), step):  # long texts in parts that share a cell
             ids = np.fromiter(map(self.vocabulary.get, words[k : k + step + self.cell], repeat(-1)), dtype=np.int64)
@@ -186,8 +187,11 @@ class ItemIndex:
                 for item, score in self.wand(terms[bounds > 0].tolist(), block):
                     question, answer = self.parts[item]
                     seen = (score, overlap(question, there), overlap(answer, there), overlap(self.items[item], there))
-                    if item not in best or (seen[3], seen) > (best[item][3], best[item]):
-                        best[item] = seen
+                    old = best.get(item)
+                    leaked = is_leak(*seen[1:], percent) or (old is not None and old[4])
+                    if old is not None and (old[3], old[:4]) >= (seen[3], seen):
+                        seen = old[:4]
+                    best[item] = (*seen, leaked)
         return best
 
 
@@ -216,7 +220,8 @@ def leaks(
     docs = narrow(docs, doc_id=id_col, text=text_col)
     spark = docs.sparkSession
     schema = (
-        "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, item_overlap double"
+        "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, item_overlap double,"
+        " leaked boolean"
     )
     found = spark.createDataFrame([], schema)
     for items in _shards(narrow(benchmark, item_id=item_col, text=item_text_col)):
@@ -229,20 +234,15 @@ def leaks(
             index = shared.value
             owner, rows = [], []
             for i, text in enumerate(raw_texts(batch, "text")):
-                for item, (score, q, a, whole) in index.search(text.decode()).items():
+                for item, (score, q, a, whole, leaked) in index.search(text.decode(), percent).items():
                     owner.append(i)
-                    rows.append((index.ids[item], score / float(index.own[item]), q, a, whole))
-            columns = list(zip(*rows)) or [()] * 5
+                    rows.append((index.ids[item], score / float(index.own[item]), q, a, whole, leaked))
+            columns = list(zip(*rows)) or [()] * 6
             arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(columns[0], pa.int64())]
-            arrays += [pa.array(c, pa.float64()) for c in columns[1:]]
+            arrays += [pa.array(c, pa.float64()) for c in columns[1:5]] + [pa.array(columns[5], pa.bool_())]
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
         found = found.union(map_texts(docs, worker, schema))
-    border = percent / 100  # as in is_leak
-    leaked = ((F.col("question_overlap") >= border) & (F.col("answer_overlap") >= border)) | (
-        F.col("item_overlap") >= border
-    )
-    found = found.withColumn("leaked", leaked)
     names = ["score", "question_overlap", "answer_overlap", "item_overlap", "leaked"]
     return found.groupBy("doc_id", "item_id").agg(*[F.max(n).alias(n) for n in names])
 
@@ -269,8 +269,8 @@ def without_leaks(
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SHARD_ITEMS and SHARD_BYTES
 
         def decide(texts: list[bytes], shared=shared) -> list[bool]:
-            found = (shared.value.search(t.decode()).values() for t in texts)
-            return [not any(is_leak(q, a, w, percent) for _, q, a, w in hits) for hits in found]
+            found = (shared.value.search(t.decode(), percent).values() for t in texts)
+            return [not any(leaked for *_, leaked in hits) for hits in found]
 
         kept = keep_texts(kept, decide, text_col)
     return kept
