@@ -235,6 +235,22 @@ def test_leaks_against_plain_search(make, spark, monkeypatch):
     assert D.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_results_do_not_depend_on_shards(make, spark, monkeypatch):
+    from treesift.llm import decontamination as D
+
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(4, 60))) % 80)) for k in range(24)]
+    table = spark.createDataFrame(items + [items[0]] * 9 + [(50, None), (51, "...")], "item_id bigint, text string")
+    texts = [(k, " ".join([words(rng, 50, 80), items[k][1][: int(rng.integers(20, 300))], words(rng, 50, 80)])) for k in range(24)]
+    docs = make(texts)
+    found = []
+    for size in (1024, 8):
+        monkeypatch.setattr(D, "SHARD_ITEMS", size)
+        rows = D.leaks(docs, table).collect()
+        found.append({(r["doc_id"], r["item_id"]): tuple(round(x, 9) for x in r[2:]) for r in rows})
+    assert found[0] and found[0] == found[1]
+
+
 def test_a_leak_is_not_hidden_by_a_better_whole_overlap(make, spark):
     from treesift.llm import decontamination as D
 

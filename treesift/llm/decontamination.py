@@ -8,8 +8,9 @@ smallest threshold are left out (for all passages of a text at once, in numpy),
 cursors of the postings from pivot to pivot. Nothing above a threshold is missed.
 
 A passage is two neighbouring cells of a text, a cell being as many words as the longest item of the
-index, so that every item that a text holds lies in one passage. The index is broadcast in shards of at
-most ``SHARD_ITEMS`` items and ``SHARD_BYTES`` of text; each shard is one more pass over the texts.
+benchmark, so that every item that a text holds lies in one passage. The index is broadcast in shards of at
+most ``SHARD_ITEMS`` items and ``SHARD_BYTES`` of text; each shard is one more pass over the texts. Item
+count, word frequencies, mean and greatest length are those of the whole benchmark without repeated rows.
 
 Verification: 5-word shingles (or the whole, if shorter) of the item's question and answer within the
 passage. The answer is what follows the last question mark, else the last sentence if there are several.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts
+from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts, stored
 
 SHARE = 0.7
 BLOCK = 8
@@ -77,6 +78,16 @@ def overlap(wanted: list[int], there: list[int]) -> float:
     return len(goal & have) / len(goal)
 
 
+@dataclass(frozen=True)
+class Totals:
+    """What scores and passages take from the whole benchmark, however it is dealt into shards."""
+
+    items: int
+    mean: float  # words of an item
+    longest: int
+    frequency: dict[str, int]  # items that hold a word
+
+
 @dataclass
 class ItemIndex:
     """Postings and block maxima of one shard of items."""
@@ -85,7 +96,8 @@ class ItemIndex:
     vocabulary: dict[str, int] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, items: list[tuple[object, str]]) -> ItemIndex:
+    def build(cls, items: list[tuple[object, str]], totals: Totals | None = None) -> ItemIndex:
+        """The index of a shard; without ``totals`` the shard is the whole benchmark."""
         items = [(i, t, words_of(t)) for i, t in items if t]
         items = sorted((x for x in items if x[2]), key=lambda x: len(x[2]))  # like lengths share blocks
         index = cls([i for i, _, _ in items])
@@ -98,8 +110,13 @@ class ItemIndex:
         frequency = np.zeros(size)
         for row in index.items:
             frequency[list(set(row))] += 1
-        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-        mean = sum(map(len, index.items)) / max(n, 1)
+        if totals is None:
+            mean, longest = sum(map(len, index.items)) / max(n, 1), max(map(len, index.items), default=1)
+            idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+        else:
+            mean, longest = totals.mean, totals.longest
+            frequency = np.array([totals.frequency[w] for w in known], dtype=float)
+            idf = np.log1p((totals.items - frequency + 0.5) / (frequency + 0.5))
         index.blocks = -(-n // BLOCK)
         index.maxima = np.zeros((size, index.blocks), dtype=np.float32)
         index.postings = [[] for _ in range(size)]
@@ -116,7 +133,7 @@ class ItemIndex:
         index.own = own
         index.thresholds = own * SHARE
         index.least = np.array([index.thresholds[b * BLOCK : (b + 1) * BLOCK].min() for b in range(index.blocks)])
-        index.cell = max(map(len, index.items), default=1)
+        index.cell = longest
         return index
 
     def wand(self, terms: list[int], block: int) -> list[tuple[int, float]]:
@@ -196,14 +213,32 @@ class ItemIndex:
 
 
 def _shards(items: DataFrame):
-    """Lists of (id, text) within the bounds of a shard."""
+    """Lists of (id, text) within the bounds of a shard, with the totals of all shards if there are several."""
+    items = items.distinct()
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     shards = max(1, -(-size["n"] // SHARD_ITEMS), -(-size["b"] // SHARD_BYTES))
     if shards > 1:  # hashing is even, with room for chance
         shards = -(-shards * 5 // 4)
-    for k in range(shards if size["n"] else 0):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+    if shards == 1:
+        if size["n"]:
+            yield [(r["item_id"], r["text"]) for r in items.collect()], None
+        return
+    items = stored(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [words_of(t.decode()) for t in raw_texts(batch, "text")]
+        arrays = [batch.column("shard"), pa.array(map(len, rows), pa.int64()), pa.array([sorted(set(r)) for r in rows], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, ["shard", "n", "words"])
+
+    counted = stored(map_texts(items.select("shard", "text"), count, "shard bigint, n bigint, words array<string>"), "item-words")
+    whole = counted.where("n > 0").agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    words = counted.select("shard", F.explode("words").alias("word")).groupBy("word", "shard").count()
+    held = words.groupBy("word").agg(F.sum("count").alias("items"))
+    held = stored(words.join(held, "word").select("shard", "word", "items"), "item-frequencies")
+    for k in range(shards):
+        frequency = {r["word"]: r["items"] for r in held.where(F.col("shard") == k).collect()}
+        totals = Totals(whole["n"], whole["mean"] or 0.0, whole["longest"] or 1, frequency)
+        yield [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).collect()], totals
 
 
 def leaks(
@@ -224,8 +259,8 @@ def leaks(
         " leaked boolean"
     )
     found = spark.createDataFrame([], schema)
-    for items in _shards(narrow(benchmark, item_id=item_col, text=item_text_col)):
-        index = ItemIndex.build(items)
+    for items, totals in _shards(narrow(benchmark, item_id=item_col, text=item_text_col)):
+        index = ItemIndex.build(items, totals)
         if not index.ids:
             continue
         shared = spark.sparkContext.broadcast(index)  # bounded by SHARD_ITEMS and SHARD_BYTES
@@ -262,8 +297,8 @@ def without_leaks(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item."""
     kept = docs
-    for items in _shards(narrow(benchmark, item_id=item_col, text=item_text_col)):
-        index = ItemIndex.build(items)
+    for items, totals in _shards(narrow(benchmark, item_id=item_col, text=item_text_col)):
+        index = ItemIndex.build(items, totals)
         if not index.ids:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SHARD_ITEMS and SHARD_BYTES
