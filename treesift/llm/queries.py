@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,19 @@ URL_RULES = [
 ORACLE["op2_url_filter"] = host_filter(URL_RULES)
 
 
+def repeated_tail(doc_id: int | None, n: int):
+    """The word order of the periodicity query: a tenth of the ids repeat a stretch to their end."""
+    digest = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or digest % 10 or not n:
+        return None
+    rest = digest // 10
+    first = rest % n
+    period = 1 + (n - first) // (3 + rest % 8)
+    places = np.arange(n)
+    places[first:] = first + (places[first:] - first) % period
+    return places
+
+
 def query(name: str):
     def register(fn):
         QUERIES[name] = fn
@@ -133,3 +148,21 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return licence_scan.scan(docs, licence_scan.fit(docs))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(table(spark, folder, "documents"), reorder=repeated_tail)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
