@@ -1,4 +1,4 @@
-"""SQL that must give the rows of a query; only the host filter has a form in SQL."""
+"""SQL that must give the rows of a query, where SQL can express it."""
 
 from __future__ import annotations
 
@@ -62,3 +62,15 @@ def host_filter(rules: list, limit: float = 0.5, z: float = 1.645) -> str:
     SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN low > {limit} THEN 'block' ELSE 'allow' END) AS verdict, low
     FROM p LEFT JOIN known ON p.host = known.host LEFT JOIN fits ON p.host = fits.host AND p.path = fits.path
     """
+
+
+def best_products(k: int = 5, every: int = 50, factor: int = 256) -> str:
+    """Products of every row with each query; distinct ids assumed, as in the tables."""
+    return f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({factor} * x::DOUBLE)) AS codes FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.codes, c.codes)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.codes) = len(c.codes) WHERE q.vec_id % {every} = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}
+    """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesift.llm.host_reputation import Rule
-from treesift.llm.oracle import host_filter
+from treesift.llm.oracle import best_products, host_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,7 @@ URL_RULES = [
     Rule("block", "net/fr/"),
 ]
 ORACLE["op2_url_filter"] = host_filter(URL_RULES)
+ORACLE["op13_topk_search"] = best_products()
 
 
 def repeated_tail(doc_id: int | None, n: int):
@@ -166,3 +167,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_topk_search")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm.topk_search import top_k
+
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
