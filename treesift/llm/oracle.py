@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from treesift.llm.host_reputation import LONG_SUFFIXES, LOWER, UPPER
 
 
@@ -67,10 +69,44 @@ def host_filter(rules: list, limit: float = 0.5, z: float = 1.645) -> str:
 def best_products(k: int = 5, every: int = 50, factor: int = 256) -> str:
     """Products of every row with each query; distinct ids assumed, as in the tables."""
     return f"""
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({factor} * x::DOUBLE)) AS codes FROM embeddings
-      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WITH v AS (SELECT vec_id, [floor({factor} * x::DOUBLE) for x in embedding] AS codes FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.codes, c.codes)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.codes) = len(c.codes) WHERE q.vec_id % {every} = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}
     """
+
+
+def filter_interactions() -> str:
+    """Each row's failures as bits; a step's rows are those that no earlier bit of its order holds."""
+    letters = "ABCDE"
+    bit = {f: 1 << k for k, f in enumerate(letters)}
+    steps = ", ".join(
+        f"('{''.join(order)}', {k + 1}, '{f}', {sum(bit[g] for g in order[:k])}, {bit[f]})"
+        for order in permutations(letters)
+        for k, f in enumerate(order)
+    )
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    f AS (SELECT doc_id, part,
+        CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS bits FROM d),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+    c AS (SELECT part, bits, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+        FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    s AS (SELECT * FROM (VALUES {steps}) s(filter_order, step, filter, earlier, own)),
+    r AS (SELECT part, filter_order, step, filter,
+        sum(CASE WHEN bits & (earlier | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN bits & earlier = 0 AND bits & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN bits & earlier > 0 AND bits & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN bits = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN bits & earlier = 0 AND bits & own > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN bits & earlier = 0 AND bits & own > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM c, s GROUP BY part, filter_order, step, filter)
+    SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+    """

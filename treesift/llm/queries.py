@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesift.llm.host_reputation import Rule
-from treesift.llm.oracle import best_products, host_filter
+from treesift.llm.oracle import best_products, filter_interactions, host_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,7 @@ URL_RULES = [
     Rule("block", "net/fr/"),
 ]
 ORACLE["op2_url_filter"] = host_filter(URL_RULES)
+ORACLE["op11_filter_audit"] = filter_interactions()
 ORACLE["op13_topk_search"] = best_products()
 
 
@@ -174,3 +175,10 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     from treesift.llm.topk_search import top_k
 
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_filter_audit")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from treesift.llm.filter_audit import audit
+
+    return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
