@@ -4,9 +4,11 @@ import re
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from treesift.llm.filter_audit import audit
+from treesift.llm.filter_audit import audit, measures
 
 DOCS = "doc_id bigint, text string, source string, id string, n string, good string, fails string, gone string"
 LABELS = "doc_id bigint, quality int, toxic int, part string"
@@ -86,10 +88,19 @@ def test_empty_table_and_all_clean(spark):
 
 
 def test_other_filters(spark):
-    docs = [(1, "a", "s"), (2, "ab", "s"), (3, "b", "s")]
-    rows = found(spark, docs, [], filters=lambda t: {"X": t.contains("a"), "Y": t.contains("b")}, repeats=None).collect()
+    docs = [(1, "a A", "s"), (2, "a A B", "s"), (3, "a b", "s")]
+    filters = {"X": F.col("n_capitals") > 0, "Y": F.col("n_capitals") != 1}
+    rows = found(spark, docs, [], filters=filters, repeats=None).collect()
     got = {(r["filter_order"], r["step"]): (r["kept"], r["removed"], r["redundant"], r["unique_fails"]) for r in rows}
     assert got == {("XY", 1): (1, 2, 0, 1), ("XY", 2): (0, 1, 1, 1), ("YX", 1): (1, 2, 0, 1), ("YX", 2): (0, 1, 1, 1)}
     assert {r["filter"]: r["shapley"] for r in rows} == {"X": 3, "Y": 3}
     with pytest.raises(ValueError):
-        found(spark, docs, [], filters=lambda t: {"E": t.contains("a")})
+        found(spark, docs, [], filters={"E": F.col("n_words") > 0})
+
+
+def test_measures():
+    texts = ["", "a\u00a0b a\u00a0b\tX", "É É #|", "\x1c \x0b"]
+    got = measures(pa.array(texts))
+    assert got["n_words"].tolist() == [0, 3, 3, 1] and got["n_different"].tolist() == [0, 2, 2, 1]
+    assert got["n_capitals"].tolist() == [0, 1, 0, 0] and got["n_marks"].tolist() == [0, 0, 2, 0]
+    assert got["n_points"].tolist() == [len(t) for t in texts]

@@ -23,37 +23,81 @@ no rows; other columns are not read.
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import sha256
 from itertools import combinations, permutations
 from math import factorial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm.common import narrow, shared_folder, stored
+from treesift.llm.common import map_texts, narrow, raw_texts, shared_folder, stored
+from treesift.llm.periodic_runs import split_words
 
 MOST_FILTERS = 7
 _HOT_SHARE = 1000
 _COUNTS = ("n", "good", "toxic")
 
 
-def text_filters(text: Column) -> dict[str, Column]:
-    """Failure conditions by letter: few words, repetitive, capitals, marks."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, different = F.size(words), F.size(F.array_distinct(words))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
+MARKS = b"#$%&*|"
+
+
+def measures(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Words, different words, capitals A-Z, code points and marks of each text."""
+    values, offsets = split_words(texts)
+    sizes = np.diff(offsets)
+    words = values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    pairs = np.unique(row * (len(values) + 1) + words)
+    texts = texts.cast(pa.large_binary())
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    raw = np.frombuffer(b"".join(texts.to_pylist()), dtype=np.uint8)
+
+    def count(kinds: np.ndarray) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum(kinds[raw], dtype=np.int64)])
+        return np.diff(before[bounds])
+
+    byte = np.arange(256)
+    return {
+        "n_words": sizes,
+        "n_different": np.bincount(pairs // (len(values) + 1), minlength=len(sizes)),
+        "n_capitals": count((byte >= ord("A")) & (byte <= ord("Z"))),
+        "n_points": count(byte & 0xC0 != 0x80),
+        "n_marks": count(np.isin(byte, list(MARKS))),
+    }
+
+
+def text_filters() -> dict[str, Column]:
+    """Failure conditions by letter over the measures: few words, repetitive, capitals, marks."""
     return {
-        "A": n < 50,
-        "B": 100 * different < 65 * n,
-        "C": 100 * capitals > 5 * F.length(text),
-        "D": text.rlike("[#$%&*|]"),
+        "A": F.col("n_words") < 50,
+        "B": 100 * F.col("n_different") < 65 * F.col("n_words"),
+        "C": 100 * F.col("n_capitals") > 5 * F.col("n_points"),
+        "D": F.col("n_marks") > 0,
     }
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    names = ("n_words", "n_different", "n_capitals", "n_points", "n_marks")
+
+    def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pc.fill_null(batch.column("text"), "")
+        found = measures(texts)
+        digests = pa.array([sha256(t).digest() for t in raw_texts(batch, "text")], pa.binary())
+        columns = [batch.column("doc_id"), batch.column("part"), digests]
+        columns += [pa.array(found[name], pa.int64()) for name in names]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "digest", *names])
+
+    schema = "doc_id bigint, part string, digest binary, " + ", ".join(f"{name} bigint" for name in names)
+    return map_texts(docs, worker, schema)
+
+
 def _judged(docs: DataFrame, filters: dict[str, Column], repeats: str | None) -> DataFrame:
     """``doc_id``, ``part``, ``id`` and the filters that each row ``fails``."""
     failed = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in filters.items()]), lambda x: x.isNotNull())
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    rows = stored(docs.select("doc_id", "part", digest, failed.alias("fails")), "verdicts")
+    rows = stored(_measured(docs).select("doc_id", "part", "digest", failed.alias("fails")), "verdicts")
     identity = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.hex("digest"))))
     if repeats is None:
         return rows.select("doc_id", "part", identity.alias("id"), "fails")
@@ -164,15 +208,14 @@ def audit(
     part_col: str = "source",
     id_col: str = "doc_id",
     text_col: str = "text",
-    filters=text_filters,
+    filters: dict[str, Column] | None = None,
     repeats: str | None = "E",
 ) -> DataFrame:
-    """The audit of ``filters`` (failure conditions by letter over a text column) and, unless ``repeats`` is
-    None, of a filter of that letter that fails rows whose text a smaller id has."""
+    """The audit of ``filters`` (failure conditions by letter over the :func:`measures`) and, unless ``repeats``
+    is None, of a filter of that letter that fails rows whose text a smaller id has."""
     docs = narrow(docs, doc_id=id_col, text=text_col, part=part_col)
-    empty = F.lit("")
-    docs = docs.select("doc_id", F.coalesce("part", empty).alias("part"), F.coalesce("text", empty).alias("text"))
-    conditions = filters(F.col("text"))
+    docs = docs.withColumn("part", F.coalesce("part", F.lit("")))
+    conditions = text_filters() if filters is None else filters
     letters = sorted([*conditions, *([repeats] if repeats else [])])
     if not letters or len(letters) > MOST_FILTERS or len(set(letters)) < len(letters) or any(len(x) != 1 for x in letters):
         raise ValueError(f"1 to {MOST_FILTERS} filters with different one-letter names")
