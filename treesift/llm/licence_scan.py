@@ -5,7 +5,8 @@ lines up to a blank one that a wrapped notice starting in the first of them can
 as white space. A run stands for itself where a template crosses its lines. Features are the runs
 of one to three words of the templates that hold an *anchor*, a template word that is no function word;
 what the corpus holds does not change them. A multinomial logistic regression with an elastic net is trained on templates, on parts of
-them, on parts amid corpus words, and on a bounded sample of corpus paragraphs for the class *unknown*.
+them, on parts amid corpus words, on their names alone, and on a bounded sample of corpus paragraphs
+(``sample_docs`` of at most ``sample_bytes``) for the class *unknown*.
 
 A paragraph without an anchor has no feature and is unknown, so only lines with an anchor, and runs with
 two, go on; their n-grams meet the table of weights, and sums by paragraph give the classes' odds. The
@@ -35,8 +36,6 @@ from treesift.llm.common import narrow
 from treesift.llm.licence_templates import NO_LICENCE, TEMPLATES
 
 UNKNOWN = "unknown"
-SAMPLE_DOCS = 3000
-SAMPLE_BYTES = 4000
 # Fixed values. Words that say nothing of licences: every other template word is an anchor, whatever the corpus holds.
 FUNCTION_WORDS = frozenset(
     "a all an and are as at be by can for from has have in is it its may not of on or that the this to with you your".split()
@@ -112,24 +111,31 @@ class LicenceModel:
     anchors: tuple[str, ...]  # every n-gram with a weight holds one
 
 
-def _sample(docs: DataFrame) -> list[str]:
-    """One paragraph of about ``SAMPLE_DOCS`` documents at most, drawn by hashes."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+def _sample(docs: DataFrame, sample_docs: int, sample_bytes: int) -> list[str]:
+    """One paragraph of about ``sample_docs`` documents at most, drawn by hashes of their ids; of rows that
+    repeat an id, one."""
+    share = min(1.0, sample_docs / max(1, docs.select("doc_id").distinct().count()))
     lines = F.split("text", "\n")
     draw = F.pmod(F.xxhash64(F.lit("licence"), "doc_id"), F.lit(1_000_003)) < share * 1_000_003
     one = F.element_at(lines, (F.pmod(F.xxhash64(F.lit("line"), "doc_id"), F.size(lines)) + 1).cast("int"))
-    rows = docs.where(draw & F.col("text").isNotNull()).select(one.alias("line"))
-    rows = rows.where((F.octet_length("line") <= SAMPLE_BYTES) & (F.trim("line") != ""))
-    return sorted(r["line"] for r in rows.collect())
+    rows = docs.where(draw & F.col("text").isNotNull()).select("doc_id", one.alias("line"))
+    rows = rows.where((F.octet_length("line") <= sample_bytes) & (F.trim("line") != ""))
+    return sorted(r["line"] for r in rows.groupBy("doc_id").agg(F.min("line").alias("line")).collect())
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_share: float = 0.001, seed: int = 11
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    false_share: float = 0.001,
+    seed: int = 11,
+    sample_docs: int = 3000,
+    sample_bytes: int = 4000,
 ) -> LicenceModel:
-    """A model from the templates and a bounded sample of corpus paragraphs."""
+    """A model from the templates and a bounded sample of corpus paragraphs of at most ``sample_bytes``."""
     spark = docs.sparkSession
     rng = np.random.default_rng(seed)
-    lines = [_words(t) for t in _sample(narrow(docs, doc_id=id_col, text=text_col))]
+    lines = [_words(t) for t in _sample(narrow(docs, doc_id=id_col, text=text_col), sample_docs, sample_bytes)]
     templates = [(family, _words(text)) for family, _, text in TEMPLATES]
     known = [set(_grams(w, 2)) - set(w) for _, w in templates]
     # The corpus holds notices too: what resembles a template teaches nothing about the unknown.
@@ -138,7 +144,9 @@ def fit(
     anchors = {w for _, t in templates for w in t} - FUNCTION_WORDS
     vocabulary = sorted({g for _, t in templates for g in _grams(t) if anchors & set(g.split())})
     families = sorted({family for family, _ in templates} | {UNKNOWN})
-    filler = [w for line in lines[:400] for w in line[:12]] or ["and"]
+    # Words around notices: whatever the corpus holds, function words are as many.
+    filler = [w for line in lines[:400] for w in line[:12] if w not in anchors]
+    filler += sorted(FUNCTION_WORDS) * max(1, len(filler) // len(FUNCTION_WORDS))
     rows: list[tuple[str, list[str]]] = []
     for family, words in templates:
         rows += [(family, words)] * 4
@@ -151,10 +159,16 @@ def fit(
         for _ in range(4):  # as in a run, whose first and last line hold other words
             around = [[str(w) for w in rng.choice(filler, int(rng.integers(0, 50)))] for _ in range(2)]
             rows.append((family, around[0] + words + around[1]))
-        for _ in range(2):  # a few words of a template are no notice
+        named = [k for k, w in enumerate(words) if w in NAMES]
+        if len({words[k] for k in named}) > 1:  # the licence's name alone, as in a footer
+            for _ in range(12):
+                around = [[str(w) for w in rng.choice(filler, int(rng.integers(0, 9)))] for _ in range(2)]
+                rows.append((family, around[0] + words[named[0] : named[-1] + 1] + around[1]))
+        for _ in range(2):  # a few words of a template without its name are no notice
             size = max(1, len(words) // 5)
             start = int(rng.integers(0, len(words) - size + 1))
-            rows.append((UNKNOWN, [str(w) for w in rng.choice(filler, 8)] + words[start : start + size]))
+            if len(NAMES & set(words[start : start + size])) < 2:
+                rows.append((UNKNOWN, [str(w) for w in rng.choice(filler, 8)] + words[start : start + size]))
     rows += [(UNKNOWN, _words(t)) for t in NO_LICENCE for _ in range(3)]
     rows += [(UNKNOWN, w) for w in lines]
     rows = [rows[i] for i in rng.permutation(len(rows))]
@@ -162,7 +176,9 @@ def fit(
     frame = spark.createDataFrame([(float(families.index(f)), _grams(w)) for f, w in train], "label double, grams array<string>")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
     learner = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.3, maxIter=60)
-    fitted = learner.fit(vectors.transform(frame.coalesce(2)).cache())
+    features = vectors.transform(frame.coalesce(2)).cache()
+    fitted = learner.fit(features)
+    features.unpersist()
     matrix = fitted.coefficientMatrix.toArray()
     bias = fitted.interceptVector.toArray()
     if matrix.shape[0] < len(families):  # no rows of the last classes
