@@ -3,7 +3,8 @@
 A word is its letters between boundary marks; its subwords are all byte runs of 1 to 5 bytes of it,
 hashed into buckets. A text is the mean of its subwords' embeddings, a linear layer and a softmax give
 the language. Both layers are trained by stochastic gradient descent in numpy on windows of labelled
-texts (a bounded sample, ``per_class`` documents of each language at most). Since the layers are linear,
+texts (a bounded sample, ``per_class`` documents of each language at most; a text of over 50,000 code points
+teaches with a window of it). Since the layers are linear,
 prediction adds one row of logits per subword, and a word's sum is remembered by each worker.
 
 Calibration, on sampled documents kept out of training: a temperature, and a rejection threshold at which
@@ -30,7 +31,9 @@ from treesift.llm.sampling import sample_by_class, sampled_texts
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 LONGEST = 5
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Superscripts, fractions and other numbers are word characters, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,7 +203,7 @@ def fit(
     """Train on labelled rows for which ``learn`` holds."""
     labelled = docs.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     sample = sample_by_class(narrow(labelled, id=id_col, label=label_col), per_class, "language")
-    rows = sampled_texts(narrow(docs, id=id_col, text=text_col), sample)
+    rows = sampled_texts(narrow(labelled, id=id_col, text=text_col), sample)
     return train([t for t, _ in rows], [y for _, y in rows])
 
 
