@@ -6,16 +6,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Longer texts are left out of training samples (never of predictions), which bounds their bytes.
-SAMPLE_TEXT_BYTES = 50_000
+# Code points a text teaches with at most (predictions read whole texts): of a longer one, a window drawn by its id.
+WINDOW_POINTS = 50_000
 
 
 def sample_by_class(keys: DataFrame, per_class: int, seed: str) -> list[tuple]:
-    """(``id``, ``label``) of about ``per_class`` rows of each label at most.
+    """(``id``, ``label``) of about ``per_class`` ids of each label at most; an id with several labels has the
+    one that sorts first.
 
     Counts by label come first; a row is taken if a hash of its id falls under its label's share. The
     draw is Poisson, trimmed to ``per_class``, so that its size does not grow with the table.
     """
+    keys = keys.groupBy("id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
@@ -32,13 +34,21 @@ def sample_by_class(keys: DataFrame, per_class: int, seed: str) -> list[tuple]:
     return [pair for c in sorted(kept, key=repr) for pair in kept[c]]
 
 
-def sampled_texts(docs: DataFrame, sample: list[tuple], seed: int = 3) -> list[tuple[str, object]]:
-    """(text, label) of the sampled ids, in an order that mixes the labels. ``docs``: ``id``, ``text``."""
+def sampled_texts(
+    docs: DataFrame, sample: list[tuple], seed: int = 3, window: int = WINDOW_POINTS
+) -> list[tuple[str, object]]:
+    """(text, label) of the sampled ids, in an order that mixes the labels. ``docs``: ``id``, ``text``.
+
+    Of rows that repeat an id, the text that sorts first teaches, so that no more come than were sampled.
+    """
     if not sample:
         return []
     ids = docs.sparkSession.createDataFrame([(i,) for i in dict(sample)], f"id {dict(docs.dtypes)['id']}")
-    found = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES))
-    found = found.join(F.broadcast(ids), "id").select("id", "text").collect()  # as many as were sampled
+    size = F.length("text")
+    start = F.pmod(F.xxhash64(F.lit("window"), "id"), F.greatest(size - window, F.lit(0)) + 1).cast("int") + 1
+    text = F.when(size <= window, F.col("text")).otherwise(F.substring("text", start, F.lit(window)))
+    found = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), "id").select("id", text.alias("text"))
+    found = found.groupBy("id").agg(F.min("text").alias("text")).collect()
     labels = dict(sample)
     rows = [(r["text"], labels[r["id"]]) for r in sorted(found, key=lambda r: (repr(r["id"]), r["text"]))]
     return [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]

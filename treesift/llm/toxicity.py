@@ -1,30 +1,36 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
 
-A unit is a word, or a run of single characters that white space separates. The kernel of two units
-sums, over the character triples both contain in order within ``SPAN`` characters, ``DECAY`` to the
-power of the spans they take in each; it is divided by the roots of both self kernels. Marks match nothing and only widen a span, so
-``i.d-i_o t`` stays close to ``idiot``. Units longer than ``WINDOW`` are read in overlapping windows.
+A unit is a word, a run of single characters that white space separates, or two neighbouring words that
+together begin and end like a known insult. The kernel of two units sums, over the character triples both
+contain in order within ``SPAN`` characters, ``DECAY`` to the power of the spans they take in each; it is
+divided by the roots of both self kernels. A unit's two ends count as characters. Marks and spaces match
+nothing and only widen a span, so ``i.d-i_o t`` stays close to ``idiot``. Units longer than ``WINDOW`` are
+read in overlapping windows.
 
 Training takes sentences of labelled documents (a bounded sample of ``per_class`` documents of each
-label) as bags of units: no unit of a benign sentence is an insult, and a toxic document has a sentence
-with one. Units that toxic documents hold significantly more often start as positive; landmarks are
-spread over these and over frequent benign units; a linear machine with hinge loss is trained on the
-Nystroem features of the units, then the choice of positive units is repeated with its margins, and the
-worst benign units are added. A logistic curve, fitted on sampled documents kept out of training, turns
-a document's largest margin into its score.
+label, of near copies the first, of a text of over 50,000 code points a window) as bags of units: no unit of a benign sentence is an insult, and a toxic
+document has a sentence with one. Units that toxic documents hold significantly more often start as
+positive; landmarks are spread over these and over frequent benign units; a linear machine with squared
+hinge loss is solved exactly on the Nystroem features of the units, then the choice of positive units is
+repeated with its margins, and the worst benign units are added. A logistic curve, fitted on sampled
+documents kept out of training, turns a document's greatest margin and how many of its units lean to
+insults (all, per unit, different ones) into its score.
 
 The kernel with a landmark is an inner product over triples, so the trained machine is one weight per
 triple: a unit's margin is a sum over its triples, divided by the root of its self kernel.
 
-Null and empty texts, and texts without a unit of three characters, get the score of no evidence (the
-curve at the margin -1). Without labels of both kinds every score is 0. Repeated rows get the same
+Null and empty texts get the score of no evidence (the curve at the margin -1 and no hits). A text that
+repeats in the sample teaches once. Without labels of both kinds every score is 0. Repeated rows get the same
 result; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass
+import zlib
+from collections import Counter
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -33,15 +39,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesift.llm.common import keep_texts, map_texts, narrow, raw_texts
-from treesift.llm.sampling import platt, sample_by_class, sampled_texts
+from treesift.llm.sampling import sample_by_class, sampled_texts
 
 DECAY = 0.6
 SPAN = 9
 WINDOW = 24
 CODES = 64
 _UNITS_KEPT = 250_000
-_SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?]\s|\n")
+_FIRST, _LAST = "\x02", "\x03"  # a unit's ends, which count as characters
 _EDGES = ".,;:!?*#$%&()\"'"
 _NO_EVIDENCE = -1.0
 _FAR = -0.6
@@ -52,9 +59,13 @@ def code_of(ch: str) -> int:
     """0 for marks and space; letters a-z and digits apart, other letters share the remaining codes."""
     if "a" <= ch <= "z":
         return ord(ch) - 96
+    if ch == _FIRST:
+        return CODES - 2
+    if ch == _LAST:
+        return CODES - 1
     if not ch.isalnum():
         return 0
-    return 27 + ord(ch) * 31 % (CODES - 27)
+    return 27 + ord(ch) * 31 % (CODES - 29)
 
 
 class _Codes(dict):
@@ -66,17 +77,27 @@ class _Codes(dict):
 _CODE = _Codes()
 
 
-def units(text: str) -> list[str]:
-    """Units of a text, lower-cased, in order and with repetitions."""
+def units(text: str, edges: frozenset[str] = frozenset()) -> list[str]:
+    """Units of a text, lower-cased, with repetitions.
+
+    Two neighbouring words are a unit too if together they begin and end like one of ``edges``.
+    """
     low = text.lower()
-    found = [w.strip(_EDGES) for w in low.split()]
-    if "  " in low or "\t" in low or _SPACED.search(low):
+    words = low.split()
+    found = [w.strip(_EDGES) for w in words]
+    if edges:
+        joined = map(str.__add__, found, found[1:])
+        found += [f"{a} {b}" for a, b, ab in zip(found, found[1:], joined) if ab[:3] + ab[-3:] in edges and len(ab) < WINDOW - 2]
+    if _SPACED.search(low):
         found += [" ".join(m.group().split()) for m in _SPACED.finditer(low)]
     return found
 
 
 def windows(unit: str) -> list[str]:
-    """The unit, or overlapping windows of a long one."""
+    """The unit between its ends, or overlapping windows of a long one."""
+    if not unit:
+        return []
+    unit = f"{_FIRST}{unit}{_LAST}"
     if len(unit) <= WINDOW:
         return [unit]
     return [unit[k : k + WINDOW] for k in range(0, len(unit) - WINDOW // 2, WINDOW // 2)]
@@ -171,14 +192,39 @@ def kernel_columns(items: list[str], landmarks: list[str]) -> np.ndarray:
 class ToxicityModel:
     weights: np.ndarray  # one per triple of codes
     bias: float
-    slope: float
-    offset: float
+    edges: frozenset[str]  # first and last three characters of units that count against a text
+    curve: np.ndarray  # one weight per feature of a text, then the offset
     trained: bool
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
+    def score(self, features: np.ndarray) -> np.ndarray:
+        """Scores of the rows of :meth:`_Scorer.features`."""
         if not self.trained:
-            return np.zeros(len(margin))
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
+            return np.zeros(len(features))
+        return 1 / (1 + np.exp(-np.clip(features @ self.curve[:-1] + self.curve[-1], -40, 40)))
+
+
+def summary(margins: np.ndarray, times: np.ndarray) -> tuple[float, float, float, float]:
+    """Features of a text: its worst unit, and how many units (all, per unit, different) lean to insults."""
+    if not len(margins):
+        return _NO_EVIDENCE, 0.0, math.log(0.3 / 15), 0.0
+    lean = np.clip(margins + 0.5, 0, 1)
+    hits, n = float((lean * times).sum()), float(times.sum())
+    return float(margins.max()), math.log1p(hits), math.log((hits + 0.3) / (n + 15)), math.log1p(float(lean.sum()))
+
+
+def _logistic(features: np.ndarray, truth: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights and offset of a logistic curve, by Newton steps with a ridge on standardised features."""
+    mean, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
+    x = np.hstack([(features - mean) / spread, np.ones((len(features), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        curve = (x.T * (p * (1 - p) + 1e-9)) @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, x.T @ (p - truth) + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
 def _spread(ranked: list[str], most: int, near: float) -> list[str]:
@@ -194,35 +240,69 @@ def _spread(ranked: list[str], most: int, near: float) -> list[str]:
     return taken
 
 
-def _machine(features: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Hinge loss with a squared norm, by averaged subgradient steps on all rows."""
-    m = features.shape[1]
-    w, b, total_w, total_b = np.zeros(m), 0.0, np.zeros(m), 0.0
+def _machine(features: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Squared hinge loss with a squared norm, by Newton steps until the gradient vanishes."""
+    x = np.hstack([features, np.ones((len(features), 1))])
     share = weight / weight.sum()
-    ridge = 1e-4
-    for t in range(steps):
-        rate = 4.0 / (1 + 0.02 * t)
-        active = labels * (features @ w + b) < 1
-        pull = np.where(active, labels * share, 0)
-        w = w * (1 - rate * ridge) + rate * (features.T @ pull)
-        b += rate * pull.sum()
-        if t >= steps // 2:
-            total_w, total_b = total_w + w, total_b + b
-    return total_w / (steps - steps // 2), total_b / (steps - steps // 2)
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-9
+    w = np.zeros(x.shape[1])
+
+    def loss(v):
+        slack = np.maximum(0, 1 - labels * (x @ v))
+        return (share * slack**2).sum() + (penalty * v * v).sum()
+
+    for _ in range(100):
+        slack = 1 - labels * (x @ w)
+        active = slack > 0
+        gradient = -2 * x[active].T @ (share[active] * labels[active] * slack[active]) + 2 * penalty * w
+        if np.abs(gradient).max() < 1e-9:
+            break
+        curve = 2 * (x[active].T * share[active]) @ x[active] + 2 * np.diag(penalty)
+        step, size, now = np.linalg.solve(curve, gradient), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+    return w[:-1], float(w[-1])
+
+
+def unlike(texts: list[str], labels: list[int], hashes: int = 24, same: int = 15) -> list[int]:
+    """Places of texts to learn from: of those with one label that share most of their words, the first.
+
+    Copies of one document would otherwise count as so much evidence for each of its words.
+    """
+    if not texts:
+        return []
+    rng = np.random.default_rng(1)
+    factors = rng.integers(1, 1 << 32, hashes, dtype=np.uint64) | np.uint64(1)
+    sketches = np.zeros((len(texts), hashes), dtype=np.uint64)
+    for i, text in enumerate(texts):
+        words = np.array([zlib.crc32(w.encode()) for w in set(text.lower().split())] or [0], dtype=np.uint64)
+        mixed = words[:, None] * factors
+        sketches[i] = ((mixed ^ (mixed >> np.uint64(29))) * factors).min(axis=0)
+    kept: list[int] = []
+    marks = np.array(labels)
+    for i in range(len(texts)):
+        before = np.array(kept, dtype=int)
+        before = before[marks[before] == marks[i]]
+        if (sketches[before] == sketches[i]).sum(axis=1).max(initial=0) < same:
+            kept.append(i)
+    return kept
 
 
 def train(
-    texts: list[str], labels: list[int], landmarks: int = 80, negatives: int = 6000, rounds: int = 2, seed: int = 5
+    texts: list[str], labels: list[int], landmarks: int = 200, negatives: int = 8000, rounds: int = 2, seed: int = 5
 ) -> ToxicityModel:
-    """A model of a bounded list of labelled texts; every fourth one is kept for calibration."""
-    nothing = ToxicityModel(np.zeros(CODES**3, np.float32), 0.0, 0.0, 0.0, False)
+    """A model of a bounded list of labelled texts; every third one is kept for calibration."""
+    nothing = ToxicityModel(np.zeros(CODES**3, np.float32), 0.0, frozenset(), np.zeros(5), False)
     bags, held = [], []
-    for i, (text, label) in enumerate(zip(texts, labels)):
-        if i % 4 == 3:
+    for i, k in enumerate(unlike(texts, labels)):
+        text, label = texts[k], labels[k]
+        if i % 3 == 2:
             held.append((text, label))
         else:
             sentences = [set(units(s)) for s in _SENTENCE.split(text)] + [set(units(text))]
-            bag = {w for u in set().union(*sentences) if len(u) >= 3 for w in windows(u)}
+            bag = {w for u in set().union(*sentences) for w in windows(u) if len(w) >= 3}
             bags.append((bag, label))
     toxic, benign = sum(y for _, y in bags), sum(1 - y for _, y in bags)
     if not toxic or not benign:
@@ -283,49 +363,49 @@ def train(
         for bag, label in bags:
             if label and bag:
                 best = max(sorted(bag), key=lambda u: margins[u])
-                if margins[best] > 0 and not counts[best][0]:
+                if margins[best] > 0 and not counts[best][0] and counts[best][1] > 1:
                     positive.add(best)
         drawn |= set(sorted((u for u in common if counts[u][0]), key=lambda u: -margins[u])[: negatives // 4])
-    model = ToxicityModel(table, float(bias), 1.0, 0.0, True)
+    ends = frozenset(u[1:4] + u[-4:-1] for u in positive if u[0] == _FIRST and u[-1] == _LAST and len(u) > 6)
+    model = ToxicityModel(table, float(bias), ends, np.array([4.0, 0, 0, 0, 0]), True)
     scorer = _Scorer(model)
     truth = np.array([y for _, y in held])
     if truth.sum() and (1 - truth).sum():
-        raw = np.array([scorer.margin(t) for t, _ in held])
-        slope, offset = platt(raw, truth)
-        if slope > 0:
-            model = ToxicityModel(table, float(bias), slope, offset, True)
+        curve = _logistic(np.array([scorer.features(t) for t, _ in held]), truth)
+        model = replace(model, curve=curve)
     return model
 
 
 class _Scorer:
-    """Margins by unit, remembered up to a bound."""
+    """Features of texts from the margins of their units, remembered up to a bound."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.known: dict[str, float] = {}
 
-    def margin(self, text: str) -> float:
-        distinct = dict.fromkeys(units(text))
-        missing = [u for u in distinct if u not in self.known]
-        best = _NO_EVIDENCE
-        if missing:
+    def _margins(self, found: list[str]) -> dict[str, float]:
+        pieces = [(u, w) for u in found for w in windows(u)]
+        values = unit_margins([w for _, w in pieces], self.model.weights, self.model.bias)
+        margins = dict.fromkeys(found, _NO_EVIDENCE)
+        for (u, _), v in zip(pieces, values.tolist()):
+            if v > margins[u]:
+                margins[u] = v
+        return margins
+
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        times = Counter(units(text, self.model.edges))
+        margins = np.empty(len(times))
+        distinct = list(times)
+        for k in range(0, len(distinct), _UNITS_KEPT):  # a text of very many units needs no more memory
+            part = distinct[k : k + _UNITS_KEPT]
+            missing = [u for u in part if u not in self.known]
             if len(self.known) + len(missing) > _UNITS_KEPT:
                 self.known.clear()
-                missing = list(distinct)
-            for k in range(0, len(missing), _UNITS_KEPT):  # a text of very many units needs no more memory
-                part = missing[k : k + _UNITS_KEPT]
-                pieces = [(u, w) for u in part for w in (windows(u) if len(u) > WINDOW else (u,))]
-                values = unit_margins([w for _, w in pieces], self.model.weights, self.model.bias)
-                found = dict.fromkeys(part, _NO_EVIDENCE)
-                for (u, _), v in zip(pieces, values.tolist()):
-                    if v > found[u]:
-                        found[u] = v
-                best = max(best, max(found.values()))
-                if len(missing) <= _UNITS_KEPT:
-                    self.known.update(found)
-        if len(missing) <= _UNITS_KEPT and distinct:
-            best = max(best, max(map(self.known.__getitem__, distinct)))
-        return best
+                missing = part
+            if missing:
+                self.known.update(self._margins(missing))
+            margins[k : k + len(part)] = [self.known[u] for u in part]
+        return summary(margins, np.fromiter(times.values(), dtype=float, count=len(times)))
 
 
 _CURRENT: list = []  # the worker's model and its scorer
@@ -356,9 +436,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = worker_scorer(shared.value)
-        margins = np.array([scorer.margin(t.decode()) for t in raw_texts(batch, "text")])
+        features = np.array([scorer.features(t.decode()) for t in raw_texts(batch, "text")])
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(shared.value.score(margins), pa.float64())], ["doc_id", "score"]
+            [batch.column("doc_id"), pa.array(shared.value.score(features), pa.float64())], ["doc_id", "score"]
         )
 
     return map_texts(narrow(docs, doc_id=id_col, text=text_col), worker, "doc_id bigint, score double")
@@ -370,6 +450,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, border: float = 0.5, te
 
     def decide(texts: list[bytes]) -> list[bool]:
         scorer = worker_scorer(shared.value)
-        return (shared.value.score(np.array([scorer.margin(t.decode()) for t in texts])) < border).tolist()
+        return (shared.value.score(np.array([scorer.features(t.decode()) for t in texts])) < border).tolist()
 
     return keep_texts(docs, decide, text_col)
