@@ -1,4 +1,9 @@
-import pytest
+import os
+
+# One thread a process, as in executors; threads of a numeric library can wait for each other behind a JVM.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 

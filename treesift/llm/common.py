@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.R
     """Cut Arrow batches so that each holds about ``SLICE_BYTES`` of ``column``."""
     for batch in batches:
         sizes = batch.column(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(lengths):
             if total and total + n > SLICE_BYTES:
@@ -52,6 +54,15 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and the offset at which each text's words begin."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    values, offsets = lists.values, lists.offsets.to_numpy()
+    full = pc.binary_length(values).to_numpy(zero_copy_only=False) > 0
+    before = np.concatenate([[0], np.cumsum(full)])
+    return values.filter(pa.array(full)), before[offsets]
+
+
 def map_texts(
     df: DataFrame, worker: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text"
 ) -> DataFrame:

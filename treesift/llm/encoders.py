@@ -13,11 +13,10 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from treesift.llm.common import split_words
 
-# One ASCII mark between a letter (ASCII or Latin-1) or ASCII digit and white space: a pre-token of its own.
-_TAIL = re.compile(
-    rb"([.,;:!?*#$%&)])(?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t\n\v\f\r]|\Z)", re.S
-)
 # A run of ASCII marks at a chunk's end, after an ASCII letter or digit.
 _RUN = re.compile(rb"(.*[a-z0-9])([.,;:!?*#$%&)]+)\Z", re.S)
 _KEPT = 700_000
@@ -41,7 +40,7 @@ class _Known(dict):
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, exactly those of encoding the whole text."""
+    """Ids by the tokenizers library, exactly those of encoding whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,19 +51,39 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._known = _Known(self._tokenizer.encode, self.dtype)
 
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of one text given as UTF-8."""
-        if b"<|" in text:  # special tokens are matched before lower-casing
-            chunks = text.split()
-        else:
-            chunks = _TAIL.sub(rb" \1", text).lower().split()
-        packed = []
-        for k in range(0, len(chunks), _KEPT // 4):
-            part = chunks[k : k + _KEPT // 4]
+    def _packed(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; special tokens are matched before lower-casing."""
+        found: list[bytes] = []
+        for k in range(0, len(words), _KEPT // 4):
+            part = words[k : k + _KEPT // 4]
             if len(self._known) > _KEPT:
                 self._known.clear()
-            packed.append(b"".join(map(self._known.__getitem__, part)))
-        return np.frombuffer(b"".join(packed), dtype=self.dtype)
+            special = b"<|" in b" ".join(part)
+            keys = [w if b"<|" in w else w.lower() for w in part] if special else map(bytes.lower, part)
+            found += map(self._known.__getitem__, keys)
+        return found
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end_id``, and the offsets at which texts begin.
+
+        Different words are encoded once; the others' ids are gathered.
+        """
+        values, offsets = split_words(texts)
+        coded = values.dictionary_encode()
+        packed = self._packed(coded.dictionary.cast(pa.binary()).to_pylist())
+        packed.append(np.array([end_id], self.dtype).tobytes())
+        flat = np.frombuffer(b"".join(packed), dtype=self.dtype)
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        # The end of each text is one more word.
+        word = np.full(len(values) + len(texts), len(packed) - 1, dtype=np.int64)
+        counts = np.diff(offsets)
+        word[np.arange(len(values)) + np.repeat(np.arange(len(texts)), counts)] = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[word]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) + np.repeat(starts[word] - (ends - n), n)]
+        return ids, np.concatenate([[0], ends])[offsets + np.arange(len(offsets))]
 
 
 @lru_cache(maxsize=4)

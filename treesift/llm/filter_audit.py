@@ -33,8 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treesift.llm.common import map_texts, narrow, raw_texts, shared_folder, stored
-from treesift.llm.periodic_runs import split_words
+from treesift.llm.common import map_texts, narrow, raw_texts, shared_folder, split_words, stored
 
 MOST_FILTERS = 7
 _HOT_SHARE = 1000

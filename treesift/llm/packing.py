@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treesift.llm.common import map_texts, narrow, raw_texts, stored
+from treesift.llm.common import map_texts, narrow, stored
 from treesift.llm.encoders import word_encoder
 
 CAPACITY = 2048
@@ -44,15 +44,16 @@ def cut_pieces(
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = word_encoder(tokenizer)
         owner, starts, lengths, checks, totals = [], [], [], [], []
-        for i, text in enumerate(raw_texts(batch, "text")):
-            ids = np.append(encoder.encode(text).astype("<u4"), np.uint32(end_id))
-            for start in range(0, len(ids), capacity):
-                piece = ids[start : start + capacity]
+        all_ids, offsets = encoder.encode_all(batch.column("text"), end_id)
+        for i, (begin, end) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+            raw = memoryview(all_ids[begin:end].astype("<u4").tobytes())
+            for start in range(0, end - begin, capacity):
+                piece = raw[4 * start : 4 * (start + capacity)]
                 owner.append(i)
                 starts.append(start)
-                lengths.append(len(piece))
-                checks.append(zlib.crc32(piece.astype("<u4").tobytes()))
-                totals.append(len(ids))
+                lengths.append(len(piece) // 4)
+                checks.append(zlib.crc32(piece))
+                totals.append(end - begin)
         columns = [batch.column("doc_id").take(pa.array(owner, pa.int64()))]
         columns += [pa.array(x, pa.int64()) for x in (starts, lengths, checks, totals)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -278,10 +279,8 @@ def sequences(
     def encode(batches):
         encoder = word_encoder(tokenizer)
         for batch in batches:
-            ids = [
-                np.append(encoder.encode(t).astype("<u4"), np.uint32(end_id)).astype("<u4").tobytes()
-                for t in raw_texts(batch, "text")
-            ]
+            all_ids, offsets = encoder.encode_all(batch.column("text"), end_id)
+            ids = [all_ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "all_ids"])
 
     tokens = narrow(docs, doc_id=id_col, text=text_col).mapInArrow(encode, "doc_id bigint, all_ids binary")

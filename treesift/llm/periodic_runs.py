@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from treesift.llm.common import map_texts, narrow
+from treesift.llm.common import map_texts, narrow, split_words
 
 # Primes k * 2**m + 1, each with 3 as a primitive root.
 PRIMES = (469762049, 167772161, 998244353)
@@ -223,15 +223,6 @@ def _runs_of_scale(words, padded, starts, scale, known, least_words, least_perio
     return list(found.values())
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts in a row, and the offset at which each text's words begin."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    values, offsets = lists.values, lists.offsets.to_numpy()
-    full = pc.binary_length(values).to_numpy(zero_copy_only=False) > 0
-    before = np.concatenate([[0], np.cumsum(full)])
-    return values.filter(pa.array(full)), before[offsets]
-
-
 def _kept(runs: list[tuple[int, int, int]], n: int) -> np.ndarray:
     """Which of ``n`` words no run repeats."""
     level = np.zeros(n + 1, dtype=np.int64)

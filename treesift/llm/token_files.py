@@ -20,17 +20,18 @@ blocks. Other columns are not read.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesift.llm.common import map_texts, narrow, raw_texts, shared_folder, stored
+from treesift.llm.common import narrow, shared_folder, stored, text_slices
 from treesift.llm.encoders import word_encoder
 
 BLOCK_TOKENS = 1 << 18
+# Bytes of ids in a part of the files.
+PART_BYTES = 16 << 20
 _STEP = 1 << 20
 
 # By control byte: the lengths of its four codes.
@@ -65,38 +66,50 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` (packed little-endian, the end id last), ``crc`` of them as 32-bit integers."""
+    """``doc_id``, ``ids`` (packed little-endian, the end id last) and ``row``, another number for each document.
+
+    Each task adds a row of its own with the ids it met (``found``) and their ``times``; its ``row`` is null.
+    """
+    names = ["doc_id", "ids", "row", "found", "times"]
 
-    def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         encoder = word_encoder(tokenizer)
-        end = np.array([end_id], dtype=encoder.dtype)
-        rows = [np.concatenate([encoder.encode(text), end]) for text in raw_texts(batch, "text")]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([r.tobytes() for r in rows], pa.binary()),
-                pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()),
-            ],
-            ["doc_id", "ids", "crc"],
-        )
+        size, width = max(encoder.size, end_id + 1), encoder.dtype.itemsize
+        total, row = np.zeros(size, dtype=np.int64), TaskContext.get().partitionId() << 40
+        for batch in text_slices(batches, "text"):
+            ids, offsets = encoder.encode_all(batch.column("text"), end_id)
+            total += np.bincount(ids, minlength=size)
+            n = batch.num_rows
+            places = pa.py_buffer((offsets * width).astype(np.int64).tobytes())
+            packed = pa.Array.from_buffers(pa.large_binary(), n, [None, places, pa.py_buffer(ids.tobytes())])
+            nothing = pa.nulls(n, pa.binary())
+            rows = pa.array(np.arange(row, row + n))
+            row += n
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed.cast(pa.binary()), rows, nothing, nothing], names)
+        found = np.flatnonzero(total)
+        if len(found):
+            counts = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (found, total[found])]
+            none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, *counts], names)
 
-    return map_texts(narrow(docs, doc_id=id_col, text=text_col), worker, "doc_id bigint, ids binary, crc bigint")
+    schema = "doc_id bigint, ids binary, row bigint, found binary, times binary"
+    return narrow(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
 
 
-def id_counts(ids: DataFrame, width: int, size: int) -> np.ndarray:
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     """Occurrences of every id over all documents."""
 
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for row in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(row, dtype=f"<u{width}"), minlength=size)
+            for ids, times in zip(batch.column("found").to_pylist(), batch.column("times").to_pylist()):
+                total[np.frombuffer(ids, dtype="<i8")] += np.frombuffer(times, dtype="<i8")
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.where("found is not null").select("found", "times").mapInArrow(count, "id bigint, n bigint")
     counts = np.zeros(size, dtype=np.int64)
-    for row in rows.collect():  # at most one row per id of the vocabulary
+    for row in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row per id of the vocabulary
         counts[row["id"]] = row["n"]
     return counts
 
@@ -116,8 +129,9 @@ def write_token_files(
     size, width = max(encoder.size, end_id + 1), encoder.dtype.itemsize
     if end_id >= 1 << 8 * width:
         raise ValueError("the end id does not fit the vocabulary's width")
-    ids = stored(encoded(docs, tokenizer, end_id, id_col, text_col), "ids")
-    by_rank = np.argsort(-id_counts(ids, width, size), kind="stable")
+    tokens = stored(encoded(docs, tokenizer, end_id, id_col, text_col), "ids")
+    counts = id_counts(tokens, size)
+    by_rank = np.argsort(-counts, kind="stable")
     rank_of = np.empty(size, dtype=np.uint32)
     rank_of[by_rank] = np.arange(size, dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)  # four bytes for each id of the vocabulary
@@ -148,9 +162,12 @@ def write_token_files(
         if held:
             yield block(part, doc_ids, sizes, ranks)
 
+    ids = tokens.where("row is not null").select("doc_id", F.crc32("ids").alias("crc"), "row", "ids")
+    parts = max(1, -(-int(counts.sum()) * width // PART_BYTES))
+    order = ("doc_id", "crc", "row")  # of repeated ids and rows, too, no part takes more than its share
     ordered = (
-        ids.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "crc")
+        ids.repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
         .select(F.spark_partition_id().cast("bigint").alias("part"), "doc_id", "ids")
     )
     schema = "part bigint, block bigint, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, control binary, data binary"
