@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treesift.checks.derived import PYTHON_FILES, SCRIPT_FILES
+from treesift.checks.derived import COMPONENT_FILES, PYTHON_FILES, SCRIPT_FILES
 from treesift.checks.files import RAWS
 from treesift.checks.registry import query, with_ctes
 from treesift.operators import provenance, python_rules, script_rules
@@ -169,3 +169,20 @@ _SCRIPT = """
 def script_rule_findings(t):
     files = t.derive(SCRIPT_FILES)
     return _flat(script_rules.findings(script_facts.facts(files)))
+
+
+@query(
+    "jsx_findings",
+    with_ctes(
+        """SELECT 'BAS-LLM10-005' AS rule_id, path AS file, CAST(len(string_split(text, chr(10))) - 1 AS BIGINT) AS line, 'eval(reply)' AS snippet
+          FROM files WHERE k % 5 <> 4
+        UNION ALL SELECT 'unparseable', path, NULL, NULL FROM files WHERE k % 5 = 4""",
+        files=COMPONENT_FILES,
+    ),
+)
+def jsx_findings(t):
+    """Files with brackets in the text between tags keep their findings; a bracket too many is a broken file."""
+    facts = script_facts.facts(t.derive(COMPONENT_FILES))
+    found = script_rules.findings(facts).select("rule_id", F.col("location.file").alias("file"), F.col("location.line").alias("line"), "snippet")
+    broken = facts.where("fact = 'unparseable'").select(F.lit("unparseable").alias("rule_id"), F.col("path").alias("file"))
+    return found.unionByName(broken, allowMissingColumns=True)

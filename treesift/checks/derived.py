@@ -291,3 +291,17 @@ FROM events
 """
 # Bars stand for template quotes, which only now can be put in.
 SCRIPT_FILES = f"SELECT path, k, replace(raw_text, '|', chr(96)) AS text FROM ({SCRIPT_FILES})"
+
+
+# Components with brackets in the text between their tags, and files with a bracket that nothing explains.
+COMPONENT_FILES = """
+SELECT concat('ui/e', CAST(event_id AS STRING), '.tsx') AS path, event_id AS k,
+  replace(concat(
+    'export const Note = () => {^',
+    CASE event_id % 5 WHEN 0 THEN '  return (<p>^    Hello :)^  </p>)^'
+      WHEN 1 THEN '  return (<li>^    a) first ^    b) second {name} :(^  </li>)^'
+      WHEN 2 THEN concat(repeat('  out.push(<b>(</b>)^', 70), '  return <i>]</i>^')
+      WHEN 3 THEN concat('  const n = a[0]^  return (<p>', event_type, ' [</p>)^') ELSE '  return total)^' END,
+    '}^eval(reply)^'), '^', chr(10)) AS text
+FROM events
+"""

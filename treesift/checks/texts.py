@@ -31,6 +31,13 @@ def flat(df, array, *extra):
 
 DOC_FILES = "SELECT concat('doc/', CAST(doc_id AS STRING), '.txt') AS path, text FROM documents"
 
+# Documents hold assignments in large tables only; these files always do.
+CREDENTIAL_FILES = DOC_FILES + """
+UNION ALL SELECT concat('app/c', CAST(c_custkey AS STRING), '.cfg') AS path, concat('region = ', CAST(c_nationkey AS STRING), chr(10), '  ',
+  CASE c_custkey % 3 WHEN 0 THEN 'apiKey' WHEN 1 THEN 'db_password' ELSE 'user_name' END, ': "',
+  CASE c_custkey % 4 WHEN 0 THEN md5(c_name) WHEN 1 THEN c_name WHEN 2 THEN '10.25' ELSE '$HOME' END, '"; token="', c_mktsegment, '"') AS text FROM customer
+"""
+
 _ASSIGN = r'([A-Za-z_][A-Za-z0-9_]*)[ \t]*[=:][ \t]*"([^"\n]+)"'
 _NAME = r"(?i)(password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key)"
 
@@ -46,7 +53,7 @@ _NAME = r"(?i)(password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-
         FROM hits WHERE regexp_matches(k, '{_NAME}') AND NOT regexp_full_match(v, '[0-9.]+')
           AND NOT regexp_matches(v, '^[$/~.<]')
         """,
-        files=DOC_FILES,
+        files=CREDENTIAL_FILES,
         raws="SELECT path, generate_subscripts(l, 1) AS line, unnest(l) AS raw FROM (SELECT path, string_split(text, chr(10)) AS l FROM files)",
         found=f"SELECT path, line, raw, regexp_extract_all(raw, '{_ASSIGN}') AS h, string_split_regex(raw, '{_ASSIGN}') AS g FROM raws WHERE regexp_matches(raw, '{_ASSIGN}')",
         placed="""SELECT path, line, raw, h[i] AS hit, 1 + list_sum(list_transform(g[1:i], lambda x: length(x)))
@@ -56,7 +63,7 @@ _NAME = r"(?i)(password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-
     ),
 )
 def credential_findings(t):
-    files = t.derive(DOC_FILES)
+    files = t.derive(CREDENTIAL_FILES)
     found = report.as_findings(
         files.select(F.explode(literals.findings(F.col("path"), F.col("text"))).alias("finding"))
     ).withColumn("analyser", F.lit(0))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from treesift.functions.text import strip
 
@@ -14,30 +11,37 @@ from treesift.functions.text import strip
 FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
 
+_LIMB = 0xFFFFFFFF
 
-@F.pandas_udf(T.StringType())
-def _fnv1a(values: pd.Series) -> pd.Series:
-    """All rows of a batch advance one byte per step; uint64 arithmetic wraps by itself."""
-    encoded = [value.encode() for value in values]
-    lengths = np.array([len(value) for value in encoded], dtype=np.int64)
-    state = np.full(len(encoded), FNV_OFFSET, dtype=np.uint64)
-    order = np.argsort(-lengths, kind="stable")
-    width = int(lengths.max(initial=0))
-    table = np.zeros((len(encoded), width), dtype=np.uint64)
-    for row, source in enumerate(order):
-        table[row, : lengths[source]] = np.frombuffer(encoded[source], dtype=np.uint8)
-    alive = np.searchsorted(-lengths[order], -np.arange(width), side="left")
-    for position in range(width):
-        live = alive[position]
-        state[:live] = (state[:live] ^ table[:live, position]) * np.uint64(FNV_PRIME)
-    result = np.empty(len(encoded), dtype=object)
-    result[order] = [f"{int(value):016x}" for value in state]
-    return pd.Series(result, index=values.index, dtype=object)
 
+def fnv1a(value: Column) -> Column:
+    """Sixteen hex digits of the hash of a string's UTF-8 bytes; null for null.
 
-def fingerprint(rule_id: Column, file: Column, snippet: Column, title: Column) -> Column:
-    """Sixteen hex digits that stay the same when code moves to another line.
-
-    The wrapping 64-bit multiply has no ANSI-safe SQL form, so this is one Arrow-batched helper.
+    The state is two limbs of 32 bits in longs. The prime is ``2**40 + 0x1B3``: a step multiplies both limbs
+    by ``0x1B3``, carries, and adds the lower limb, moved by 40 bits, to the upper one. No step leaves 42 bits,
+    so nothing wraps, and a text of n bytes costs n steps and no table.
     """
-    return _fnv1a(F.concat_ws("\0", rule_id, file, strip(snippet), title))
+    factor = FNV_PRIME & _LIMB
+    # One character per byte, whose code is the byte.
+    latin = F.decode(F.encode(value, "UTF-8"), "ISO-8859-1")
+    chars = F.filter(F.split(latin, ""), lambda c: c != "")
+
+    def state(high: Column, low: Column) -> Column:
+        return F.struct(high.cast("bigint").alias("high"), low.cast("bigint").alias("low"))
+
+    def step(acc: Column, char: Column) -> Column:
+        mixed = acc["low"].bitwiseXOR(F.ascii(char).cast("bigint"))
+        product = mixed * factor
+        high = acc["high"] * factor + F.shiftright(product, 32) + F.shiftleft(mixed, 8)
+        return state(high.bitwiseAND(F.lit(_LIMB)), product.bitwiseAND(F.lit(_LIMB)))
+
+    def digits(limb: Column) -> Column:
+        return F.lpad(F.lower(F.hex(limb)), 8, "0")
+
+    start = state(F.lit(FNV_OFFSET >> 32), F.lit(FNV_OFFSET & _LIMB))
+    return F.aggregate(chars, start, step, lambda acc: F.concat(digits(acc["high"]), digits(acc["low"])))
+
+
+def fingerprint(rule_id: Column, file: Column, snippet: Column, title: Column) -> Column:
+    """Sixteen hex digits that stay the same when code moves to another line."""
+    return fnv1a(F.concat_ws("\0", rule_id, file, strip(snippet), title))

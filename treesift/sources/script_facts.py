@@ -38,8 +38,9 @@ _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 
 _STRAY = "\0"
-# Openers looked back through for a closer's partner.
-_NEAR = 64
+_OPEN = frozenset(_CLOSE.values())
+# Text between tags holds none of these but as its ends.
+_ENDS_TEXT = frozenset("<>{};")
 
 
 class _Unbalanced(ValueError):
@@ -124,25 +125,30 @@ class _Script:
         words = [self.text[s:e] for _, s, e in tokens]
         partner: dict[int, int] = {}
         stack: list[int] = []
+        waiting = dict.fromkeys(_OPEN, 0)  # openers in the stack by kind
+        ends = [i for i, word in enumerate(words) if word in _ENDS_TEXT]
+        view = (tokens, words, partner)
         for i, (kind, _, _) in enumerate(tokens):
             if kind != "punct":
                 continue
-            if words[i] in "([{":
+            if words[i] in _OPEN:
                 stack.append(i)
+                waiting[words[i]] += 1
             elif words[i] in _CLOSE:
                 # A closer pairs with its nearest opener. Openers above that one, and closers without
                 # any, can be text between tags, or a pattern read as a division.
                 opener = _CLOSE[words[i]]
-                if any(words[k] == opener for k in reversed(stack[-_NEAR:])):
+                if waiting[opener]:
                     while words[stack[-1]] != opener:
-                        self.stray(tokens, words, stack.pop())
+                        waiting[words[stack[-1]]] -= 1
+                        self.stray(view, ends, stack.pop())
+                    waiting[opener] -= 1
                     partner[i] = stack[-1]
                     partner[stack.pop()] = i
                 else:
-                    self.stray(tokens, words, i)
+                    self.stray(view, ends, i)
         for i in stack:
-            self.stray(tokens, words, i)
-        view = (tokens, words, partner)
+            self.stray(view, ends, i)
         for i, (kind, s, e) in enumerate(tokens):
             if kind == "string":
                 self.add("string", s, None, [self.value(view, i, i + 1)])
@@ -156,12 +162,26 @@ class _Script:
             elif words[i] == "{":
                 self.message(view, i)
 
-    def stray(self, tokens, words, i: int) -> None:
-        """A bracket without a partner: text if its line has tags or a slash, else a broken file."""
+    def stray(self, view, ends: list[int], i: int) -> None:
+        """A bracket without a partner: text between tags, or a pattern on a line with a slash, else a broken file."""
+        tokens, words, _ = view
+        between = self.between_tags(words, ends, i)
         words[i] = _STRAY
         row = bisect.bisect_left(self.breaks, tokens[i][1])
         line = self.text[self.breaks[row - 1] + 1 if row else 0 : self.breaks[row] if row < len(self.breaks) else None]
-        self.broken = self.broken or not ("/" in line or ("<" in line and ">" in line))
+        self.broken = self.broken or not (between or "/" in line or ("<" in line and ">" in line))
+
+    def between_tags(self, words: list[str], ends: list[int], i: int) -> bool:
+        """Whether a tag or an expression in braces ends before the token and one begins after it, with nothing
+        but text between, and one of both is a tag."""
+        at = bisect.bisect_left(ends, i)
+        after = at + (at < len(ends) and ends[at] == i)
+        if not at or after == len(ends):
+            return False
+        first, last = ends[at - 1], ends[after]
+        opens = words[last] == "<" and last + 1 < len(words) and (words[last + 1] in ("/", ">") or words[last + 1][0].isalpha())
+        closes = words[first] == ">" and first > 0 and words[first - 1] != "="
+        return (closes and words[last] == "{") or (opens and words[first] == "}") or (closes and opens)
 
     def add(self, fact: str, at: int, name: str | None, args: list[dict]) -> None:
         row = bisect.bisect_left(self.breaks, at)
