@@ -77,20 +77,31 @@ class _Codes(dict):
 _CODE = _Codes()
 
 
-def units(text: str, edges: frozenset[str] = frozenset()) -> list[str]:
-    """Units of a text, lower-cased, with repetitions.
+def unit_times(text: str, edges: frozenset[str] = frozenset()) -> Counter:
+    """Units of a text, lower-cased, and how often it holds each.
 
     Two neighbouring words are a unit too if together they begin and end like one of ``edges``.
     """
     low = text.lower()
     words = low.split()
-    found = [w.strip(_EDGES) for w in words]
+    times: Counter = Counter()
+    for word, n in Counter(words).items():
+        times[word.strip(_EDGES)] += n
     if edges:
-        joined = map(str.__add__, found, found[1:])
-        found += [f"{a} {b}" for a, b, ab in zip(found, found[1:], joined) if ab[:3] + ab[-3:] in edges and len(ab) < WINDOW - 2]
+        heads = {edge[:3] for edge in edges}
+        for i, pair in enumerate(map(str.__add__, words, words[1:])):
+            if pair[:3] in heads:
+                first, second = words[i], words[i + 1].rstrip(_EDGES)
+                if len(first) + len(second) < WINDOW - 2 and pair[:3] + (first + second)[-3:] in edges:
+                    times[f"{first} {second}"] += 1
     if _SPACED.search(low):
-        found += [" ".join(m.group().split()) for m in _SPACED.finditer(low)]
-    return found
+        for m in _SPACED.finditer(low):
+            times[" ".join(m.group().split())] += 1
+    return times
+
+
+def units(text: str) -> list[str]:
+    return list(unit_times(text))
 
 
 def windows(unit: str) -> list[str]:
@@ -371,7 +382,7 @@ def train(
     scorer = _Scorer(model)
     truth = np.array([y for _, y in held])
     if truth.sum() and (1 - truth).sum():
-        curve = _logistic(np.array([scorer.features(t) for t, _ in held]), truth)
+        curve = _logistic(scorer.features([t for t, _ in held]), truth)
         model = replace(model, curve=curve)
     return model
 
@@ -392,20 +403,37 @@ class _Scorer:
                 margins[u] = v
         return margins
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        times = Counter(units(text, self.model.edges))
-        margins = np.empty(len(times))
-        distinct = list(times)
-        for k in range(0, len(distinct), _UNITS_KEPT):  # a text of very many units needs no more memory
-            part = distinct[k : k + _UNITS_KEPT]
-            missing = [u for u in part if u not in self.known]
-            if len(self.known) + len(missing) > _UNITS_KEPT:
-                self.known.clear()
-                missing = part
+    def features(self, texts: list[str]) -> np.ndarray:
+        """One row per text. Units not yet known are judged together."""
+        rows = np.empty((len(texts), 4))
+        waiting: list[tuple[int, Counter]] = []
+        missing: dict[str, None] = {}
+
+        def settle() -> None:
             if missing:
-                self.known.update(self._margins(missing))
-            margins[k : k + len(part)] = [self.known[u] for u in part]
-        return summary(margins, np.fromiter(times.values(), dtype=float, count=len(times)))
+                self.known.update(self._margins(list(missing)))
+            for k, times in waiting:
+                margins = np.fromiter(map(self.known.__getitem__, times), dtype=float, count=len(times))
+                rows[k] = summary(margins, np.fromiter(times.values(), dtype=float, count=len(times)))
+            waiting.clear()
+            missing.clear()
+
+        for k, text in enumerate(texts):
+            times = unit_times(text, self.model.edges)
+            if len(times) > _UNITS_KEPT:  # a text of very many units needs no more memory
+                rows[k] = summary(self._long(list(times)), np.fromiter(times.values(), dtype=float, count=len(times)))
+                continue
+            if len(self.known) + len(missing) + len(times) > 2 * _UNITS_KEPT:
+                settle()
+                self.known.clear()
+            missing.update(dict.fromkeys(u for u in times if u not in self.known))
+            waiting.append((k, times))
+        settle()
+        return rows
+
+    def _long(self, distinct: list[str]) -> np.ndarray:
+        parts = [distinct[k : k + _UNITS_KEPT] for k in range(0, len(distinct), _UNITS_KEPT)]
+        return np.concatenate([list(self._margins(part).values()) for part in parts])
 
 
 _CURRENT: list = []  # the worker's model and its scorer
@@ -436,7 +464,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = worker_scorer(shared.value)
-        features = np.array([scorer.features(t.decode()) for t in raw_texts(batch, "text")])
+        features = scorer.features([t.decode() for t in raw_texts(batch, "text")])
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(shared.value.score(features), pa.float64())], ["doc_id", "score"]
         )
@@ -450,6 +478,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, border: float = 0.5, te
 
     def decide(texts: list[bytes]) -> list[bool]:
         scorer = worker_scorer(shared.value)
-        return (shared.value.score(np.array([scorer.features(t.decode()) for t in texts])) < border).tolist()
+        return (shared.value.score(scorer.features([t.decode() for t in texts])) < border).tolist()
 
     return keep_texts(docs, decide, text_col)
