@@ -20,23 +20,8 @@ from treesift.llm.common import split_words
 # A run of ASCII marks at a chunk's end, after an ASCII letter or digit.
 _RUN = re.compile(rb"(.*[a-z0-9])([.,;:!?*#$%&)]+)\Z", re.S)
 _KEPT = 700_000
-
-
-class _Known(dict):
-    """Packed ids by chunk; a chunk not yet seen is encoded when it is asked for."""
-
-    def __init__(self, encode, dtype):
-        super().__init__()
-        self._encode, self._dtype = encode, dtype
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        m = _RUN.match(chunk)
-        if m and b"<|" not in chunk:
-            packed = self[m[1]] + self[m[2]]
-        else:
-            packed = np.array(self._encode(chunk.decode(), add_special_tokens=False).ids, self._dtype).tobytes()
-        self[chunk] = packed
-        return packed
+# Chunks given to the tokenizer as one text.
+_GROUP = 200
 
 
 class WordEncoder:
@@ -49,7 +34,9 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.size = max(self._tokenizer.get_vocab().values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self._known = _Known(self._tokenizer.encode, self.dtype)
+        self._known: dict[bytes, bytes] = {}  # packed ids by chunk
+        added = [(i, t.content) for i, t in self._tokenizer.get_added_tokens_decoder().items() if "<|" in t.content]
+        self._mark = min(added, default=None)
 
     def _packed(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word; special tokens are matched before lower-casing."""
@@ -59,10 +46,40 @@ class WordEncoder:
             if len(self._known) > _KEPT:
                 self._known.clear()
             special = b"<|" in b" ".join(part)
-            keys = [w if b"<|" in w else w.lower() for w in part] if special else map(bytes.lower, part)
+            keys = [w if b"<|" in w else w.lower() for w in part] if special else list(map(bytes.lower, part))
+            self._learn([w for w in dict.fromkeys(keys) if w not in self._known])
             found += map(self._known.__getitem__, keys)
         return found
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks; marks behind a word are pre-tokens of their own, so that words and marks are known apart."""
+        parts = {}
+        for chunk in chunks:
+            m = _RUN.match(chunk)
+            if m and b"<|" not in chunk:
+                parts[chunk] = m[1], m[2]
+        pieces = [x for c in chunks for x in parts.get(c, (c,))]
+        pieces = [x for x in dict.fromkeys(pieces) if x not in self._known]
+        # An added token parts pieces exactly: what stands between two of them is encoded by itself.
+        together = [x for x in pieces if b"<|" not in x] if self._mark else []
+        alone = [x for x in pieces if b"<|" in x] if self._mark else pieces
+        for x, e in zip(alone, self._tokenizer.encode_batch_fast([x.decode() for x in alone], add_special_tokens=False)):
+            self._known[x] = np.array(e.ids, self.dtype).tobytes()
+        groups = [together[k : k + _GROUP] for k in range(0, len(together), _GROUP)]
+        if groups:
+            mark, between = self._mark
+            texts = [between.join(map(bytes.decode, group)) for group in groups]
+            width = self.dtype.itemsize
+            for group, e in zip(groups, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends = [*(np.flatnonzero(ids == mark) * width).tolist(), len(ids) * width]
+                raw, start = ids.tobytes(), 0
+                for x, end in zip(group, ends):
+                    self._known[x] = raw[start:end]
+                    start = end + width
+        for chunk, (word, marks) in parts.items():
+            self._known[chunk] = self._known[word] + self._known[marks]
+
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by ``end_id``, and the offsets at which texts begin.
 
@@ -72,17 +89,13 @@ class WordEncoder:
         coded = values.dictionary_encode()
         packed = self._packed(coded.dictionary.cast(pa.binary()).to_pylist())
         packed.append(np.array([end_id], self.dtype).tobytes())
-        flat = np.frombuffer(b"".join(packed), dtype=self.dtype)
         sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.dtype.itemsize
-        starts = np.cumsum(sizes) - sizes
         # The end of each text is one more word.
         word = np.full(len(values) + len(texts), len(packed) - 1, dtype=np.int64)
         counts = np.diff(offsets)
         word[np.arange(len(values)) + np.repeat(np.arange(len(texts)), counts)] = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[word]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(starts[word] - (ends - n), n)]
+        ids = np.frombuffer(b"".join(map(packed.__getitem__, word.tolist())), dtype=self.dtype)
+        ends = np.cumsum(sizes[word])
         return ids, np.concatenate([[0], ends])[offsets + np.arange(len(offsets))]
 
 
