@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treesift.checks.derived import COMPONENT_FILES, PYTHON_FILES, SCRIPT_FILES
+from treesift.checks.derived import COMPONENT_FILES, PYTHON_FILES, SCOPE_FILES, SCRIPT_FILES
 from treesift.checks.files import RAWS
 from treesift.checks.registry import query, with_ctes
-from treesift.operators import provenance, python_rules, script_rules
+from treesift.operators import name_lookup, provenance, python_rules, script_rules
 from treesift.session import written
-from treesift.sources import python_facts, script_facts
+from treesift.sources import python_facts, python_names, script_facts
 
 
 def _python(t):
@@ -186,3 +186,25 @@ def jsx_findings(t):
     found = script_rules.findings(facts).select("rule_id", F.col("location.file").alias("file"), F.col("location.line").alias("line"), "snippet")
     broken = facts.where("fact = 'unparseable'").select(F.lit("unparseable").alias("rule_id"), F.col("path").alias("file"))
     return found.unionByName(broken, allowMissingColumns=True)
+
+
+_LOOKUPS = """
+  SELECT path, 3 AS line, 'x' AS name, 'parameter' AS kind, false AS sure, '' AS vals FROM files
+  UNION ALL SELECT path, 5, 'x', 'binding', true, CASE WHEN k % 2 = 0 THEN '"later"' ELSE '"outer";"later"' END FROM files
+  UNION ALL SELECT path, 10, 'y', 'binding', false, CASE k % 3 WHEN 0 THEN '1;1' WHEN 1 THEN '1;2' ELSE '1' END FROM files
+  UNION ALL SELECT path, 12, 'y', 'binding', true, '3' FROM files
+  UNION ALL SELECT path, 16, 'z', 'binding', true, '0' FROM files
+  UNION ALL SELECT path, 18, 'z', 'binding', true, CAST(k AS VARCHAR) FROM files
+  UNION ALL SELECT path, 19, 'z', 'binding', true, '0;' || k FROM files
+  UNION ALL SELECT path, 21, 'z', 'binding', true, '0;' || k FROM files
+  UNION ALL SELECT path, 21, 'missing', 'name', false, '' FROM files
+  UNION ALL SELECT path, 22, 'x', 'binding', true, '"outer"' FROM files WHERE k % 2 = 1
+"""
+
+
+@query("name_lookups", with_ctes(f"SELECT path, line, name, kind, sure, vals FROM ({_LOOKUPS})", files=SCOPE_FILES))
+def name_lookups(t):
+    """Which bindings each use can meet, over scopes and branches, by joins of name rows."""
+    found = name_lookup.resolved(python_names.names(t.derive(SCOPE_FILES)))
+    found = found.where(F.col("name").isin("x", "y", "z", "missing"))
+    return found.select("path", "line", "name", "kind", "sure", F.array_join("values", ";").alias("vals"))

@@ -305,3 +305,18 @@ SELECT concat('ui/e', CAST(event_id AS STRING), '.tsx') AS path, event_id AS k,
     '}^eval(reply)^'), '^', chr(10)) AS text
 FROM events
 """
+
+
+# Names bound in branches, in outer scopes, by parameters and not at all.
+SCOPE_FILES = """
+SELECT concat('names/e', CAST(event_id AS STRING), '.py') AS path, event_id AS k,
+  replace(concat(
+    'x = "outer"^',
+    'def f(x):^    use(x)^',
+    'def g(c):^    use(x)^    if c:^        y = 1^',
+    CASE event_id % 3 WHEN 0 THEN '    else:^        y = 1^' WHEN 1 THEN '    else:^        y = 2^' ELSE '    else:^        pass^' END,
+    '    use(y)^    y = 3^    use(y)^',
+    'def h(c):^    z = 0^    for i in c:^        use(z)^        z = ', CAST(event_id AS STRING), '^        use(z)^    use(z)^    def inner():^        return use(z, missing)^',
+    CASE event_id % 2 WHEN 0 THEN 'x = "later"^' ELSE 'if x:^    x = "later"^' END), '^', chr(10)) AS text
+FROM events
+"""
