@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 from treesift.llm.common import narrow
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Suffixes of two labels, below which names are registered.
-LONG_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "org.uk")
+# Labels below which, under a country's two letters, names are registered by anyone.
+SECOND_LABELS = "ac asn co com edu gob gouv gov go id mil ne net nom or org res sch web".split()
+LONG_SUFFIX = rf"^(?:{'|'.join(SECOND_LABELS)})[.][a-z][a-z]$"
+# Numeric addresses are their own domain; they have no suffix but share one level.
+ADDRESS = r"^[0-9.]+(?::[0-9]*)?$|^\["
+NUMERIC = "(address)"
 
 
 @dataclass(frozen=True)
@@ -46,12 +50,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def suffix_of(host: Column) -> Column:
     last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*LONG_SUFFIXES), last).otherwise(F.substring_index(host, ".", -1))
+    named = F.when(last.rlike(LONG_SUFFIX), last).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(ADDRESS), NUMERIC).otherwise(named)
 
 
 def domain_of(host: Column) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    named = F.when(two.rlike(LONG_SUFFIX), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(host.rlike(ADDRESS), host).otherwise(named)
 
 
 def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:

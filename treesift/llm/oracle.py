@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from treesift.llm.host_reputation import LONG_SUFFIXES, LOWER, UPPER
+from treesift.llm.host_reputation import ADDRESS, LONG_SUFFIX, LOWER, NUMERIC, UPPER
 
 
 def _digamma(x: str) -> str:
@@ -35,7 +35,7 @@ def _level(name: str, rows: str) -> str:
 
 
 def host_filter(rules: list, limit: float = 0.5, z: float = 1.645) -> str:
-    long = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
+    long, address = f"regexp_matches({_last(2)}, '{LONG_SUFFIX}')", f"regexp_matches(host, '{ADDRESS}')"
     pattern = "(?s)^.*?://([^/?#]*)([^?#]*)"
     rule_rows = ", ".join(
         f"('{r.text}', '{r.verdict}', '{r.text.partition('/')[0]}', '/{r.text.partition('/')[2]}')" for r in rules
@@ -48,8 +48,8 @@ def host_filter(rules: list, limit: float = 0.5, z: float = 1.645) -> str:
     outcome AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels
       WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY 1),
     host_counts AS (SELECT host, {counts} FROM p LEFT JOIN outcome USING (page_id) GROUP BY host),
-    hosts AS (SELECT *, CASE WHEN {_last(2)} IN ({long}) THEN {_last(3)} ELSE {_last(2)} END AS domain,
-      CASE WHEN {_last(2)} IN ({long}) THEN {_last(2)} ELSE {_last(1)} END AS suffix FROM host_counts),
+    hosts AS (SELECT *, CASE WHEN {address} THEN host WHEN {long} THEN {_last(3)} ELSE {_last(2)} END AS domain,
+      CASE WHEN {address} THEN '{NUMERIC}' WHEN {long} THEN {_last(2)} ELSE {_last(1)} END AS suffix FROM host_counts),
     domains AS (SELECT domain, suffix, {sums} FROM hosts GROUP BY ALL),
     suffixes AS (SELECT suffix, {sums} FROM domains GROUP BY ALL),
     {_level("by_suffix", "SELECT *, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM suffixes) AS mean FROM suffixes")},
