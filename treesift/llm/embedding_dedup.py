@@ -40,8 +40,9 @@ _EXACT = 1024
 class Block:
     """Unit vectors of one block with their quantised form."""
 
-    def __init__(self, nodes, copies, vectors):
+    def __init__(self, nodes, keys, copies, vectors):
         self.nodes = np.asarray(nodes, dtype=np.int64)
+        self.keys = np.asarray(keys, dtype=np.int64)
         self.copies = np.asarray(copies, dtype=np.int64)
         raw = np.array(vectors, dtype=np.float64)
         raw /= np.abs(raw).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
@@ -81,16 +82,20 @@ def _tile(threshold: float):
         sides = {0: [], 1: []}
         for row in frame.itertuples():
             if len(row.rows):
-                nodes, copies, vectors = zip(*((r["node"], r["copies"], r["vector"]) for r in row.rows))
-                sides[row.side].append((row.block, Block(nodes, copies, vectors)))
+                parts = zip(*((r["id"], r["key"], r["copies"], r["vector"]) for r in row.rows))
+                sides[row.side].append((row.block, Block(*parts)))
         own = key[2] == key[3]  # a group with itself; the other one may have no vector
-        all_nodes, starts = [], {}
+        blocks, starts, total = [], {}, 0
         for side in (0, 1):
             for block, b in sides[side]:
-                starts[side, block] = sum(map(len, all_nodes))
-                all_nodes.append(b.nodes)
-        nodes = np.concatenate(all_nodes) if all_nodes else np.zeros(0, np.int64)
-        count, label = np.zeros(len(nodes), dtype=np.int64), nodes.copy()
+                starts[side, block] = total
+                blocks.append(b)
+                total += len(b.nodes)
+        nodes, keys = (np.concatenate([getattr(b, x) for b in blocks] or [np.zeros(0, np.int64)]) for x in ("nodes", "keys"))
+        order = np.lexsort((keys, nodes))
+        label = np.empty(total, dtype=np.int64)  # places in order of id and key
+        label[order] = np.arange(total)
+        count = np.zeros(total, dtype=np.int64)
         for m, (bx, x) in enumerate(sides[0]):
             for by, y in sides[0][m:] if own else sides[1]:
                 i, j = linked_pairs(x, y, threshold)
@@ -107,7 +112,9 @@ def _tile(threshold: float):
                     np.minimum.at(label, i + sx, both)
                     np.minimum.at(label, j + sy, both)
         found = np.flatnonzero(count)
-        return pd.DataFrame({"node": nodes[found], "n": count[found], "reached": label[found]})
+        least = order[label[found]]
+        columns = {"id": nodes[found], "key": keys[found], "n": count[found], "to_id": nodes[least], "to_key": keys[least]}
+        return pd.DataFrame(columns)
 
     return run
 
@@ -129,14 +136,16 @@ def embedding_duplicates(
     sound = sound & F.exists("vector", lambda x: x != 0)
     sound = F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     good = rows.where(sound)
-    classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    # Rows may share an id but not the vector, so a class is known by its smallest id and a hash of itself.
+    classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    classes = classes.withColumn("key", F.xxhash64("label", "vector"))
     classes = stored(classes.withColumn("dim", F.size("vector")), "vector-classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") * F.col("dim") * 4 / block_bytes))
     sizes = sizes.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(TILE_BLOCKS), F.ceil(F.col("blocks") / GROUPS))))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = classes.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
     packed = dealt.groupBy("label", "dim", "block", "blocks", "width").agg(
-        F.collect_list(F.struct("node", "copies", "vector")).alias("rows")  # about BLOCK_BYTES
+        F.collect_list(F.struct("id", "key", "copies", "vector")).alias("rows")  # about BLOCK_BYTES
     )
     packed = stored(packed, "vector-blocks")
     group = F.floor(F.col("block") / F.col("width"))
@@ -154,15 +163,18 @@ def embedding_duplicates(
         "rows",
     )
     tiles = sent.groupBy("label", "dim", "low", "high")
-    links = stored(tiles.applyInPandas(_tile(threshold), "node bigint, n bigint, reached bigint"), "tile-links")
-    counts = links.groupBy("node").agg(F.sum("n").alias("n"))
-    roots = components(links.select(F.col("node").alias("a"), F.col("reached").alias("b")))
-    named = classes.join(counts, "node", "left").join(roots, "node", "left")
+    found = tiles.applyInPandas(_tile(threshold), "id bigint, key bigint, n bigint, to_id bigint, to_key bigint")
+    links = stored(found, "tile-links")
+    counts = links.groupBy("id", "key").agg(F.sum("n").alias("n"))
+    ends = [F.struct(F.col(i).alias("id"), F.col(k).alias("key")) for i, k in (("id", "key"), ("to_id", "to_key"))]
+    roots = components(links.select(ends[0].alias("a"), ends[1].alias("b")))
+    roots = roots.select("node.*", F.col("component.id").alias("component"))
+    named = classes.join(counts, ["id", "key"], "left").join(roots, ["id", "key"], "left")
     named = named.select(
         "label",
         "vector",
         (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "node").alias("component"),
+        F.coalesce("component", "id").alias("component"),
     )
     plain = rows.withColumn("sound", sound)
     keys = [F.when(F.col("sound"), F.col(c)).alias(c) for c in ("label", "vector")]
