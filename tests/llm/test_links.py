@@ -281,3 +281,23 @@ def test_wand_retrieves_all_above_the_threshold():
                 scores[at] += impact
         found = {i for b in range(index.blocks) for i, _ in index.wand(terms, b)}
         assert found == set(np.flatnonzero(scores >= index.thresholds * (1 - 1e-9)).tolist())
+
+
+def test_embeddings_that_share_an_id(spark):
+    from treesift.llm.embedding_dedup import embedding_duplicates
+
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (4, [1.0, 0.002], 0), (1, [1.0, 0.0], 0)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_duplicates(docs).collect())
+    assert found == [(1, 1, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 1, 1), (4, 3, 1)]
+
+
+def test_one_row_of_each_repeated_row(make):
+    from treesift.llm.near_dedup import one_of_each
+
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (1, text), (2, text + " nine"), (3, "other words"), (3, "quite another text"), (None, "x"), (None, "x"), (4, None), (4, None)]
+    kept = one_of_each(make(rows), percent=80)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, text), (3, "other words"), (3, "quite another text"), (None, "x"), (4, None)], key=repr
+    )

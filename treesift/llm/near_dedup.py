@@ -295,7 +295,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their group."""
+    """The rows of ``docs``, with all their columns, that stand for their group: of rows that
+    repeat id and text, one."""
     found = near_duplicates(docs, percent, id_col, text_col)
     gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
+    # Only ids that repeat are compared further; texts of the others are not shuffled.
+    repeated = docs.groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("times")).where("times > 1")
+    repeated = stored(repeated.select("again"), "repeated-ids").hint("merge")
+    same = F.col(id_col).eqNullSafe(F.col("again"))
+    several = left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(repeated, same, "left_anti").unionByName(several)
