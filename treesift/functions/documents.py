@@ -71,14 +71,16 @@ def canonical_json(kind: Column, text: Column) -> Column:
     JSON that the engine itself parses stays as it is; Python reads YAML and TOML, and JSON with
     repeated members or constants that only Python accepts.
     """
-    # The engine's reader stops after the first value; what follows shows inside brackets of both kinds.
-    alone = F.try_parse_json(text).isNotNull()
-    for before, after in (("[", "]"), ('{"x":', "}")):
-        alone = alone & F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = alone & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    # The engine's reader stops after the first value. In a list, a mark behind the text that the text cannot
+    # foresee shows that it is one value and nothing follows: one parse.
+    mark = F.concat(F.lit("m"), F.xxhash64(text).cast("string"))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    follows = F.try_variant_get(listed, "$[1]", "string") == mark
+    alone = F.coalesce(follows, F.lit(False)) & F.try_variant_get(listed, "$[2]", "variant").isNull()
     native = F.when((kind == "json") & alone, text)
-    return F.coalesce(native, _canonical(F.when(native.isNull(), kind), text))
+    # Neither kind nor text of native rows travel to Python.
+    rest = native.isNull()
+    return F.coalesce(native, _canonical(F.when(rest, kind), F.when(rest, text)))
 
 
 def member(document: Column, path: str, kind: str = "string") -> Column:
