@@ -68,3 +68,18 @@ def test_broken_texts_give_nothing_else(text):
     from treesift.sources.script_facts import facts_of
 
     assert [r["fact"] for r in facts_of(text)] == ["unparseable"]
+
+
+def test_facts_of_one_long_line_are_no_larger_than_the_text():
+    from treesift.sources.script_facts import facts_of
+
+    text = "f('a');" * 6000
+    rows = facts_of(text)
+    assert len(rows) > 12000 and sum(len(r["snippet"] or "") for r in rows) == len(text)
+
+
+def test_many_stray_openers_between_tags(spark):
+    text = "const a = () => {\n" + "out.push(<b>(</b>)\n" * 200 + "}\neval(x)\n"
+    table = facts(spark.createDataFrame([("a.tsx", text)], "path string, text string"))
+    found = script_rules.findings(table).select("rule_id", "location.line", "snippet").collect()
+    assert [tuple(r) for r in found] == [("BAS-LLM10-005", 203, "eval(x)")]

@@ -168,7 +168,7 @@ _SCRIPT = """
 )
 def script_rule_findings(t):
     files = t.derive(SCRIPT_FILES)
-    return _flat(script_rules.findings(script_facts.facts(files)))
+    return _flat(script_rules.findings(written(script_facts.facts(files), "script-facts")))
 
 
 @query(
@@ -182,7 +182,7 @@ def script_rule_findings(t):
 )
 def jsx_findings(t):
     """Files with brackets in the text between tags keep their findings; a bracket too many is a broken file."""
-    facts = script_facts.facts(t.derive(COMPONENT_FILES))
+    facts = written(script_facts.facts(t.derive(COMPONENT_FILES)), "script-facts")
     found = script_rules.findings(facts).select("rule_id", F.col("location.file").alias("file"), F.col("location.line").alias("line"), "snippet")
     broken = facts.where("fact = 'unparseable'").select(F.lit("unparseable").alias("rule_id"), F.col("path").alias("file"))
     return found.unionByName(broken, allowMissingColumns=True)

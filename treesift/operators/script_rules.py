@@ -111,7 +111,10 @@ def rules() -> list[Match]:
 
 
 def findings(facts: DataFrame) -> DataFrame:
-    """Findings of all script rules, one per location."""
+    """Findings of all script rules, one per location.
+
+    The text of a finding's line is joined to what matched, so ``facts`` are read twice: pass a written table.
+    """
 
     def shaped(match: Match) -> Column:
         kind = match.rule.kind
@@ -123,11 +126,14 @@ def findings(facts: DataFrame) -> DataFrame:
                 file=F.col("path"),
                 line=F.col("line"),
                 column=F.col("col"),
-                snippet=F.col("snippet"),
+                snippet=F.lit(None).cast("string"),
                 kind=F.when(quiet, "observation").otherwise(kind),
             ),
         )
 
     wanted = F.array_compact(F.array(*[shaped(m) for m in rules()]))
-    found = facts.where("fact <> 'unparseable'").select(F.explode(wanted).alias("f"))
-    return merge_same_location(found.select(*[F.col(f"f.{n}").alias(n) for n in FINDING_FIELDS]))
+    found = facts.where("fact not in ('unparseable', 'line')").select(F.explode(wanted).alias("f"))
+    merged = merge_same_location(found.select(*[F.col(f"f.{n}").alias(n) for n in FINDING_FIELDS]))
+    lines = facts.where("fact = 'line'").select("path", "line", F.col("snippet").alias("shown"))
+    at = (F.col("location.file") == F.col("path")) & (F.col("location.line") == F.col("line"))
+    return merged.join(lines, at).withColumn("snippet", F.col("shown")).select(*merged.columns)

@@ -116,6 +116,7 @@ class _Script:
         self.text = text
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.out: list[dict] = []
+        self.lines: set[int] = set()  # rows with facts
         self.broken = False
         self.messages: set[str] = set()
         self.read(0, len(text))
@@ -186,18 +187,28 @@ class _Script:
     def add(self, fact: str, at: int, name: str | None, args: list[dict]) -> None:
         row = bisect.bisect_left(self.breaks, at)
         before = self.breaks[row - 1] if row else -1
-        after = self.breaks[row] if row < len(self.breaks) else -1
+        self.lines.add(row)
         self.out.append(
             {
                 "fact": fact,
                 "line": row + 1,
                 "col": at - before,
                 "name": name,
-                "snippet": self.text[before + 1 : after if after >= 0 else None].strip(),
+                "snippet": None,
                 "args": args,
             }
         )
 
+    def line_rows(self) -> list[dict]:
+        """The text of each line with facts, once; facts carry its number only."""
+        ends = [*self.breaks, len(self.text)]
+        rows = []
+        for row in sorted(self.lines):
+            start = self.breaks[row - 1] + 1 if row else 0
+            shown = self.text[start : ends[row]].strip()
+            rows.append(dict.fromkeys(COLUMNS) | {"fact": "line", "line": row + 1, "snippet": shown})
+        return rows
+
     def call(self, view, i: int) -> None:
         tokens, words, partner = view
         start = i
@@ -313,10 +324,15 @@ def facts_of(text: str) -> list[dict]:
     messages = sorted(script.messages)
     if script.broken:
         return [dict.fromkeys(COLUMNS) | {"fact": "unparseable"}]
-    return [row | {"messages": messages if row["fact"] == "const" else []} for row in script.out]
+    rows = [row | {"messages": messages if row["fact"] == "const" else []} for row in script.out]
+    return rows + script.line_rows()
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Facts of script files (columns ``path`` and ``text``), one narrow pass over the texts."""
+    """Facts of script files (columns ``path`` and ``text``), one narrow pass over the texts.
+
+    A fact names its line by number; the line's text is a row of its own (``fact`` is ``line``), so that the rows
+    of a file are no larger than its text, however many facts share a line.
+    """
 
     return rows_from_texts(files, facts_of, FACTS)
