@@ -19,6 +19,7 @@ from treesift.llm.common import split_words
 
 # A run of ASCII marks at a chunk's end, after an ASCII letter or digit.
 _RUN = re.compile(rb"(.*[a-z0-9])([.,;:!?*#$%&)]+)\Z", re.S)
+_MARKS = frozenset(b".,;:!?*#$%&)")
 _KEPT = 700_000
 # Chunks given to the tokenizer as one text.
 _GROUP = 200
@@ -53,13 +54,15 @@ class WordEncoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks; marks behind a word are pre-tokens of their own, so that words and marks are known apart."""
-        parts = {}
+        parts, pieces = {}, {}
         for chunk in chunks:
-            m = _RUN.match(chunk)
-            if m and b"<|" not in chunk:
-                parts[chunk] = m[1], m[2]
-        pieces = [x for c in chunks for x in parts.get(c, (c,))]
-        pieces = [x for x in dict.fromkeys(pieces) if x not in self._known]
+            m = _RUN.match(chunk) if chunk[-1] in _MARKS and b"<|" not in chunk else None
+            if m:
+                parts[chunk] = found = m.groups()
+                pieces |= dict.fromkeys(found)
+            else:
+                pieces[chunk] = None
+        pieces = [x for x in pieces if x not in self._known]
         # An added token parts pieces exactly: what stands between two of them is encoded by itself.
         together = [x for x in pieces if b"<|" not in x] if self._mark else []
         alone = [x for x in pieces if b"<|" in x] if self._mark else pieces
@@ -80,23 +83,14 @@ class WordEncoder:
         for chunk, (word, marks) in parts.items():
             self._known[chunk] = self._known[word] + self._known[marks]
 
-    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, each followed by ``end_id``, and the offsets at which texts begin.
-
-        Different words are encoded once; the others' ids are gathered.
-        """
+    def encode_all(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """The packed ids of each text, ``end_id`` last. Different words are encoded once."""
         values, offsets = split_words(texts)
         coded = values.dictionary_encode()
-        packed = self._packed(coded.dictionary.cast(pa.binary()).to_pylist())
-        packed.append(np.array([end_id], self.dtype).tobytes())
-        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.dtype.itemsize
-        # The end of each text is one more word.
-        word = np.full(len(values) + len(texts), len(packed) - 1, dtype=np.int64)
-        counts = np.diff(offsets)
-        word[np.arange(len(values)) + np.repeat(np.arange(len(texts)), counts)] = coded.indices.to_numpy(zero_copy_only=False)
-        ids = np.frombuffer(b"".join(map(packed.__getitem__, word.tolist())), dtype=self.dtype)
-        ends = np.cumsum(sizes[word])
-        return ids, np.concatenate([[0], ends])[offsets + np.arange(len(offsets))]
+        packed = self._packed(coded.dictionary.cast(pa.binary()).to_pylist()).__getitem__
+        words, bounds = coded.indices.to_numpy(zero_copy_only=False).tolist(), offsets.tolist()
+        end = np.array([end_id], self.dtype).tobytes()
+        return [b"".join(map(packed, words[a:b])) + end for a, b in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=4)

@@ -44,16 +44,16 @@ def cut_pieces(
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = word_encoder(tokenizer)
         owner, starts, lengths, checks, totals = [], [], [], [], []
-        all_ids, offsets = encoder.encode_all(batch.column("text"), end_id)
-        for i, (begin, end) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-            raw = memoryview(all_ids[begin:end].astype("<u4").tobytes())
-            for start in range(0, end - begin, capacity):
+        for i, packed_ids in enumerate(encoder.encode_all(batch.column("text"), end_id)):
+            ids = np.frombuffer(packed_ids, dtype=encoder.dtype).astype("<u4")
+            raw = memoryview(ids.tobytes())
+            for start in range(0, len(ids), capacity):
                 piece = raw[4 * start : 4 * (start + capacity)]
                 owner.append(i)
                 starts.append(start)
                 lengths.append(len(piece) // 4)
                 checks.append(zlib.crc32(piece))
-                totals.append(end - begin)
+                totals.append(len(ids))
         columns = [batch.column("doc_id").take(pa.array(owner, pa.int64()))]
         columns += [pa.array(x, pa.int64()) for x in (starts, lengths, checks, totals)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -279,8 +279,8 @@ def sequences(
     def encode(batches):
         encoder = word_encoder(tokenizer)
         for batch in batches:
-            all_ids, offsets = encoder.encode_all(batch.column("text"), end_id)
-            ids = [all_ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])]
+            packed_ids = encoder.encode_all(batch.column("text"), end_id)
+            ids = [np.frombuffer(x, dtype=encoder.dtype).astype("<u4").tobytes() for x in packed_ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "all_ids"])
 
     tokens = narrow(docs, doc_id=id_col, text=text_col).mapInArrow(encode, "doc_id bigint, all_ids binary")

@@ -74,18 +74,16 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
 
     def run(batches):
         encoder = word_encoder(tokenizer)
-        size, width = max(encoder.size, end_id + 1), encoder.dtype.itemsize
+        size = max(encoder.size, end_id + 1)
         total, row = np.zeros(size, dtype=np.int64), TaskContext.get().partitionId() << 40
         for batch in text_slices(batches, "text"):
-            ids, offsets = encoder.encode_all(batch.column("text"), end_id)
-            total += np.bincount(ids, minlength=size)
-            n = batch.num_rows
-            places = pa.py_buffer((offsets * width).astype(np.int64).tobytes())
-            packed = pa.Array.from_buffers(pa.large_binary(), n, [None, places, pa.py_buffer(ids.tobytes())])
+            ids = encoder.encode_all(batch.column("text"), end_id)
+            total += np.bincount(np.frombuffer(b"".join(ids), dtype=encoder.dtype), minlength=size)
+            n = len(ids)
             nothing = pa.nulls(n, pa.binary())
             rows = pa.array(np.arange(row, row + n))
             row += n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed.cast(pa.binary()), rows, nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), rows, nothing, nothing], names)
         found = np.flatnonzero(total)
         if len(found):
             counts = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (found, total[found])]
