@@ -31,13 +31,21 @@ from treesift.llm.sampling import sample_by_class, sampled_texts
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 LONGEST = 5
-# Superscripts, fractions and other numbers are word characters, but no letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """Stretches of letters, lower-cased."""
+    found = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # Superscripts, fractions and other numbers are word characters, but no letters.
+    parts = ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else (w,) for w in found)
+    return [w for part in parts for w in part]
+
+
 def subword_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every subword, and the word it belongs to."""
     raw = np.frombuffer("".join(f"<{w}>" for w in words).encode(), dtype=np.uint8)
@@ -91,7 +99,7 @@ class _Scorer:
             self.at[w] = first + i
 
     def logits(self, text: str) -> np.ndarray | None:
-        words = _LETTERS.findall(text.lower())
+        words = words_of(text)
         if not words:
             return None
         total = np.zeros(self.rows.shape[1])
@@ -136,7 +144,7 @@ def train(
     bias = np.zeros(n)
     examples, targets, held = [], [], []
     for i, (text, label) in enumerate(zip(texts, labels)):
-        words = _LETTERS.findall(text.lower())
+        words = words_of(text)
         if not words:
             continue
         if i % 5 == 4:
