@@ -10,11 +10,13 @@ from treesift.checks.registry import query, with_ctes
 from treesift.operators import name_lookup, provenance, python_rules, script_rules
 from treesift.session import written
 from treesift.sources import python_facts, python_names, script_facts
+from treesift.sources.batches import distinct_texts, of_every_path
 
 
-def _python(t):
-    files = t.derive(PYTHON_FILES)
-    return written(python_facts.facts(files, provenance.SINK_LEAVES), "check-python")
+def _python(t, read, *wanted):
+    """What ``read`` finds in the facts of each different text, for every path that has it."""
+    texts, members = distinct_texts(t.derive(PYTHON_FILES))
+    return of_every_path(read(python_facts.facts(texts, provenance.SINK_LEAVES, wanted)), members)
 
 
 def _flat(findings):
@@ -57,7 +59,9 @@ _EXPECTED = """
     ),
 )
 def python_rule_findings(t):
-    return _flat(python_rules.findings(_python(t)))
+    texts, members = distinct_texts(t.derive(PYTHON_FILES))
+    facts = written(python_facts.facts(texts, provenance.SINK_LEAVES), "check-python")
+    return _flat(python_rules.findings(facts, members=members))
 
 
 @query(
@@ -65,9 +69,8 @@ def python_rule_findings(t):
     with_ctes("SELECT path, 'unparseable' AS fact FROM files WHERE contains(text, 'def broken(:')", files=PYTHON_FILES),
 )
 def python_parse_failures(t):
-    return python_facts.facts(
-        t.derive(PYTHON_FILES), provenance.SINK_LEAVES
-    ).where("fact = 'unparseable'").select("path", "fact")
+    texts, members = distinct_texts(t.derive(PYTHON_FILES))
+    return of_every_path(python_facts.failures(texts), members)
 
 
 @query(
@@ -78,7 +81,7 @@ def python_parse_failures(t):
     ),
 )
 def source_returns(t):
-    return python_rules.source_returns(_python(t))
+    return _python(t, python_rules.source_returns, "return")
 
 
 @query(
@@ -90,7 +93,7 @@ def source_returns(t):
     ),
 )
 def wrapper_sinks(t):
-    return python_rules.wrapper_sinks(_python(t))
+    return _python(t, python_rules.wrapper_sinks, "call")
 
 
 @query(
@@ -106,18 +109,20 @@ def wrapper_sinks(t):
 )
 def argument_provenance(t):
     value = F.get("args", F.lit(0))
-    calls = _python(t).where("fact = 'call'").where(
-        F.col("callee").isin("eval", "exec", "os.system", "os.popen", "subprocess.run", "subprocess.call")
-    )
-    return calls.select(
-        "path",
-        F.col("line").cast("int").alias("line"),
-        "callee",
-        provenance.is_closed(value).alias("closed"),
-        (provenance.is_guarded(value) & ~provenance.is_closed(value)).alias("guarded"),
-        provenance.is_shell_quoted(value).alias("quoted"),
-        provenance.is_cli_argument(value, F.col("fn_decorators")).alias("cli"),
-    )
+    callees = ("eval", "exec", "os.system", "os.popen", "subprocess.run", "subprocess.call")
+
+    def judged(facts):
+        return facts.where("fact = 'call'").where(F.col("callee").isin(*callees)).select(
+            "path",
+            F.col("line").cast("int").alias("line"),
+            "callee",
+            provenance.is_closed(value).alias("closed"),
+            (provenance.is_guarded(value) & ~provenance.is_closed(value)).alias("guarded"),
+            provenance.is_shell_quoted(value).alias("quoted"),
+            provenance.is_cli_argument(value, F.col("fn_decorators")).alias("cli"),
+        )
+
+    return _python(t, judged, "call")
 
 
 @query(

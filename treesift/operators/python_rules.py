@@ -17,6 +17,7 @@ from treesift.functions.paths import is_test_path
 from treesift.model import Rule
 from treesift.operators import provenance as flow
 from treesift.plans.report import merge_same_location
+from treesift.sources.batches import of_every_path
 from treesift.sources.python_facts import ARGUMENT
 
 OUTSIDE = ("http_request", "tool_output", "retrieved_context", "network_read", "file_read")
@@ -603,8 +604,12 @@ def wrapped_calls(facts: DataFrame, sink: str) -> DataFrame:
     ).where("value IS NOT NULL AND value.name IS NULL")
 
 
-def findings(facts: DataFrame, extra: list[Match] | None = None) -> DataFrame:
-    """Findings of all Python rules, and of rules the caller adds, one per location."""
+def findings(facts: DataFrame, extra: list[Match] | None = None, members: DataFrame | None = None) -> DataFrame:
+    """Findings of all Python rules, and of rules the caller adds, one per location.
+
+    With ``members``, facts are those of :func:`treesift.sources.batches.distinct_texts`: rules are judged once for
+    each text, and what is found is then reported for every path that has it.
+    """
     table = [*rules(), *(extra or [])]
     if extra:
         from treesift.operators.rule_checks import validate
@@ -614,7 +619,8 @@ def findings(facts: DataFrame, extra: list[Match] | None = None) -> DataFrame:
     found = candidates(facts, table).unionByName(wrapped)
     # One row per rule, a fixed number whatever the data.
     described = found.join(F.broadcast(rule_table(facts.sparkSession, table)), "index")
-    return merge_same_location(_shaped(_judged(described, facts)))
+    judged = _judged(described, facts)
+    return merge_same_location(_shaped(judged if members is None else of_every_path(judged, members)))
 
 
 def _judged(found: DataFrame, facts: DataFrame) -> DataFrame:
