@@ -10,7 +10,7 @@ from treesift.checks.registry import query, with_ctes
 from treesift.operators import name_lookup, provenance, python_rules, script_rules
 from treesift.session import written
 from treesift.sources import python_facts, python_names, script_facts
-from treesift.sources.batches import distinct_texts, of_every_path
+from treesift.sources.batches import distinct_texts, of_every_path, tasks_for
 
 
 def _python(t, read, *wanted):
@@ -187,10 +187,12 @@ def script_rule_findings(t):
 )
 def jsx_findings(t):
     """Files with brackets in the text between tags keep their findings; a bracket too many is a broken file."""
-    facts = written(script_facts.facts(t.derive(COMPONENT_FILES)), "script-facts")
-    found = script_rules.findings(facts).select("rule_id", F.col("location.file").alias("file"), F.col("location.line").alias("line"), "snippet")
-    broken = facts.where("fact = 'unparseable'").select(F.lit("unparseable").alias("rule_id"), F.col("path").alias("file"))
-    return found.unionByName(broken, allowMissingColumns=True)
+    texts, members = distinct_texts(t.derive(COMPONENT_FILES))
+    facts = written(script_facts.facts(texts), "script-facts")
+    found = script_rules.findings(facts).select("rule_id", F.col("location.file").alias("path"), F.col("location.line").alias("line"), "snippet")
+    broken = facts.where("fact = 'unparseable'").select(F.lit("unparseable").alias("rule_id"), "path")
+    shown = of_every_path(found.unionByName(broken, allowMissingColumns=True), members)
+    return shown.withColumnRenamed("path", "file")
 
 
 _LOOKUPS = """
@@ -210,6 +212,9 @@ _LOOKUPS = """
 @query("name_lookups", with_ctes(f"SELECT path, line, name, kind, sure, vals FROM ({_LOOKUPS})", files=SCOPE_FILES))
 def name_lookups(t):
     """Which bindings each use can meet, over scopes and branches, by joins of name rows."""
-    found = name_lookup.resolved(python_names.names(t.derive(SCOPE_FILES)))
-    found = found.where(F.col("name").isin("x", "y", "z", "missing"))
+    files = t.derive(SCOPE_FILES)
+    tasks = tasks_for(files)
+    # A name meets only bindings of that name.
+    rows = python_names.names(files, tasks).where(F.col("name").isin("x", "y", "z", "missing"))
+    found = name_lookup.resolved(rows, tasks)
     return found.select("path", "line", "name", "kind", "sure", F.array_join("values", ";").alias("vals"))

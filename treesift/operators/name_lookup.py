@@ -7,8 +7,11 @@ stands in are the first of those the use stands in.
 
 No step compares the bindings of a name with its uses pairwise. The latest binding before a use, and the
 latest sure one, come from running maxima over bindings and uses in order, by scope and name, and by each of
-the use's branches from the outside in. Scopes around a use are the few its row lists, joined by equality.
+the use's branches from the outside in. Scopes around a use are the few its row lists, met by equality.
 Bindings between both ordinals are then fetched by ordinal, as many as the result holds.
+
+A name is looked up within its file, so the rows of a file are brought together once, and every later step is a
+window or an aggregation by the path and more, which needs no other shuffle and nothing written.
 """
 
 from __future__ import annotations
@@ -16,65 +19,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treesift.session import written
-
-_PLACE = ("path", "scope", "name")
 _USE = ("path", "line", "col", "name")
-
-
-def _latest(uses: DataFrame, bindings: DataFrame, keys: list[str]) -> DataFrame:
-    """``uses`` with ``latest``: the greatest ordinal of a binding with the same ``keys`` that ends before it."""
-    columns = [*keys, "line", "col", "use"]
-    events = uses.select(*columns, F.lit(None).cast("int").alias("ordinal"))
-    events = events.unionByName(bindings.select(*keys, "line", "col", F.lit(None).cast("bigint").alias("use"), "ordinal"))
-    before = Window.partitionBy(*keys).orderBy("line", "col", F.col("use").isNotNull())
-    before = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("latest", F.max("ordinal").over(before)).where("use is not null")
+_EMPTY = "array<string>"
 
 
 def _chain(branches: Column) -> Column:
     return F.array_join(branches, " ")
 
 
-def resolved(rows: DataFrame) -> DataFrame:
+def resolved(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """``path``, ``line``, ``col``, ``name`` of every use with ``kind`` (``binding``, ``parameter``, or ``name`` if
     nothing binds it), ``sure`` (a binding is sure to have run) and the ``values`` bound, in order.
 
-    ``rows`` are those of :func:`treesift.sources.python_names.names`. The key of a use is its place.
+    ``rows`` are those of :func:`treesift.sources.python_names.names`. The key of a use is its place. ``tasks``
+    is the number of parts the files are dealt into, if not the session's.
     """
-    rows = written(rows, "names")
-    bindings = rows.where("kind = 'binding'")
-    uses = rows.where("kind = 'use'").withColumn("use", F.xxhash64(*_USE))
-    uses = uses.dropDuplicates([*_USE])
+    is_use, is_binding = F.col("kind") == "use", F.col("kind") == "binding"
+    shown = F.when(is_binding, F.coalesce("value", F.lit("?"))).alias("value")
+    bare = F.when(F.size("branches") == 0, F.col("ordinal")).alias("bare")
+    kept = rows.select("path", "kind", "scope", "scopes", "name", "line", "col", "branches", "ordinal", bare, shown)
+    together = kept.repartition(tasks, "path") if tasks else kept.repartition("path")
+
     # Own scope: the latest visible binding, and the latest sure one over all prefixes of the use's branches.
-    visible = _latest(uses, bindings, list(_PLACE)).select("path", "use", F.col("latest").alias("last"))
+    def latest(*keys: str) -> Column:
+        before = Window.partitionBy("path", "scope", "name", *keys).orderBy("line", "col", is_use)
+        return F.max("ordinal").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
     prefixes = F.transform(F.sequence(F.lit(0), F.size("branches")), lambda n: _chain(F.slice("branches", 1, n)))
-    by_chain = [*_PLACE, "chain"]
-    sure = _latest(
-        uses.withColumn("chain", F.explode(prefixes)), bindings.withColumn("chain", _chain(F.col("branches"))), by_chain
+    chains = F.when(is_use, prefixes).otherwise(F.array(_chain(F.col("branches"))))
+    own = together.withColumn("last", latest()).withColumn("chain", F.explode(chains)).withColumn("sure", latest("chain"))
+    own = own.groupBy("path", "kind", "scope", "name", "line", "col", "ordinal").agg(
+        F.first("scopes").alias("scopes"),
+        F.first("bare").alias("bare"),
+        F.first("value").alias("value"),
+        F.first("last").alias("last"),
+        F.max("sure").alias("first"),
+    )
+    # Scopes around: what each of them holds of the name, bindings before parameters.
+    outwards = is_use & F.col("last").isNull()
+    stepped = own.select("*", F.posexplode(F.when(outwards, F.col("scopes")).otherwise(F.array("scope"))).alias("step", "at"))
+    there = Window.partitionBy("path", "at", "name")
+    stepped = stepped.select(
+        "*",
+        F.max(F.when(is_binding, F.col("bare"))).over(there).alias("there_first"),
+        F.max(F.when(is_binding, F.col("ordinal"))).over(there).alias("there_last"),
+        F.max(F.col("kind") == "parameter").over(there).alias("there_parameter"),
+    )
+
+    def met(kind: str, first: Column, last: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col("at"), first.alias("first"), last.alias("last"))
+
+    none = F.lit(None).cast("int")
+    meets = (
+        F.when(F.col("last").isNotNull(), met("binding", F.col("first"), F.col("last")))
+        .when((F.col("step") > 0) & F.col("there_last").isNotNull(), met("binding", F.col("there_first"), F.col("there_last")))
+        .when(F.col("there_parameter"), met("parameter", none, none))
+    )
+    stepped = stepped.withColumn("meets", F.when(is_use, meets))
+    nearest = F.min_by("meets", F.when(F.col("meets").isNotNull(), F.col("step")))
+    placed = stepped.groupBy("path", "kind", "scope", "name", "line", "col", "ordinal").agg(
+        F.first("value").alias("value"), nearest.alias("meets")
+    ).where("kind <> 'parameter'")
+    # The bindings themselves, by ordinal: a use asks for those from the first to the last it meets.
+    asked = F.when(
+        F.col("meets.kind") == "binding", F.sequence(F.coalesce("meets.first", F.lit(1)), F.col("meets.last"))
     )
-    sure = sure.groupBy("path", "use").agg(F.max("latest").alias("first"))
-    own = uses.join(visible, ["path", "use"]).join(sure, ["path", "use"])
-    met = own.where("last is not null").select(*_USE, "scope", F.lit("binding").alias("kind"), "first", "last")
-    # Scopes around: one row for each scope and name, whatever the number of its bindings.
-    bare = F.when(F.size("branches") == 0, F.col("ordinal"))
-    outer = bindings.groupBy(*_PLACE).agg(F.max(bare).alias("first"), F.max("ordinal").alias("last"))
-    outer = outer.withColumn("kind", F.lit("binding")).unionByName(
-        rows.where("kind = 'parameter'").select(*_PLACE, "kind").distinct(), allowMissingColumns=True
+    wanted = placed.select(
+        "path",
+        "kind",
+        "name",
+        "line",
+        "col",
+        "meets",
+        "value",
+        F.coalesce("meets.at", "scope").alias("at"),
+        F.explode_outer(F.when(is_binding, F.array("ordinal")).otherwise(asked)).alias("number"),
     )
-    around = own.where("last is null").select(*_USE, F.posexplode("scopes").alias("step", "scope"))
-    near = around.join(outer, list(_PLACE), "left").where("kind is not null and (step > 0 or kind = 'parameter')")
-    nearest = near.groupBy(*_USE).agg(F.min_by(F.struct("scope", "kind", "first", "last"), F.struct("step", "kind")).alias("at"))
-    met = met.unionByName(nearest.select(*_USE, "at.*"))
-    # The bindings themselves, by ordinal.
-    ordinals = F.sequence(F.coalesce("first", F.lit(1)), F.col("last"))
-    wanted = met.where("kind = 'binding'").withColumn("ordinal", F.explode(ordinals))
-    found = wanted.join(bindings.select(*_PLACE, "ordinal", "value"), [*_PLACE, "ordinal"])
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("value", F.lit("?")).alias("value")))), lambda b: b["value"])
-    found = found.groupBy(*_USE, "kind").agg(F.max(F.col("first").isNotNull()).alias("sure"), values.alias("values"))
-    other = uses.select(*_USE).join(met.where("kind = 'binding'").select(*_USE), list(_USE), "left_anti")
-    other = other.join(met.where("kind = 'parameter'").select(*_USE, "kind"), list(_USE), "left")
-    other = other.select(
-        *_USE, F.coalesce("kind", F.lit("name")).alias("kind"), F.lit(False).alias("sure"), F.array().cast("array<string>").alias("values")
+    same = Window.partitionBy("path", "at", "name", "number")
+    fetched = wanted.withColumn("bound", F.max("value").over(same)).where(is_use)
+    one = F.when(F.col("number").isNotNull(), F.struct("number", F.col("bound").alias("value")))
+    values = F.transform(F.array_sort(F.collect_list(one)), lambda b: b["value"])
+    return fetched.groupBy(*_USE).agg(
+        F.coalesce(F.first("meets.kind"), F.lit("name")).alias("kind"),
+        F.coalesce(F.first(F.col("meets.first").isNotNull()), F.lit(False)).alias("sure"),
+        values.cast(_EMPTY).alias("values"),
     )
-    return found.unionByName(other)
