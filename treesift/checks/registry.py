@@ -23,11 +23,25 @@ TABLES = (
     "conversations",
 )
 
+ROWS_PER_TASK = 20_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """The rows of a table over as many tasks as their number needs.
+
+    A row becomes a text many times its size, and judging texts takes CPU time: a table that is one small file would be
+    one task's work, however many rows it has. A table that is read by enough tasks stays as it is.
+    """
+    wanted = -(-table.count() // ROWS_PER_TASK)
+    if wanted <= 1 or table.rdd.getNumPartitions() >= wanted:
+        return table
+    return table.repartition(wanted, table.columns[0])
+
+
 class Tables:
     """The given tables of one folder, and files derived from them by a portable SELECT."""
 
@@ -41,10 +55,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def derive(self, select: str) -> DataFrame:
-        """Run a SELECT that both engines accept; only the tables it names are opened."""
+        """Run a SELECT that both engines accept; only the tables it names are opened, their rows dealt over tasks."""
         for name in TABLES:
             if f" {name}" in select:
-                getattr(self, name).createOrReplaceTempView(name)
+                dealt(getattr(self, name)).createOrReplaceTempView(name)
         return self.spark.sql(select)
 
 
