@@ -147,8 +147,8 @@ def grouped(matched: DataFrame) -> DataFrame:
     )
     usable = F.col("usable")
     rank = severity_rank(F.col("severity"))
-    # The same advisory may name a package twice; it counts once per pin.
-    once = matched.groupBy(*PIN, "id").agg(
+    # The same advisory may name a package twice; it counts once per pin. Both steps use one shuffle by pin.
+    once = matched.repartition(*PIN).groupBy(*PIN, "id").agg(
         F.first("identifier").alias("identifier"),
         F.first("severity").alias("severity"),
         F.first("summary").alias("summary"),
@@ -166,11 +166,24 @@ def grouped(matched: DataFrame) -> DataFrame:
 
 def findings(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """One finding per declared dependency with at least one advisory against its pin."""
+    return declared(dependencies, pin_findings(dependencies, advisories))
+
+
+def pin_findings(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """One finding per pin with at least one advisory, without place: texts are put together once for all declarations."""
+    nowhere = {"file": "string", "line": "bigint", "declaration": "string"}
     per_pin = grouped(matches(pins(dependencies), advisories))
-    declared = dependencies.where("version IS NOT NULL")
-    return declared.join(per_pin, PIN).select(_finding().alias("f")).select(
-        *[F.col(f"f.{name}").alias(name) for name in FINDING_FIELDS]
-    )
+    per_pin = per_pin.select("*", *[F.lit(None).cast(t).alias(name) for name, t in nowhere.items()])
+    return per_pin.select(*PIN, _finding().alias("f")).select(*PIN, *[F.col(f"f.{name}").alias(name) for name in FINDING_FIELDS])
+
+
+def declared(dependencies: DataFrame, per_pin: DataFrame) -> DataFrame:
+    """The findings of :func:`pin_findings` (and what columns a caller added) at every declaration of the pin."""
+    columns = [c for c in per_pin.columns if c not in PIN]
+    place = F.struct(F.col("file"), F.col("line").cast("bigint").alias("line"), F.lit(1).cast("bigint").alias("column"))
+    here = {"location": place.alias("location"), "snippet": F.col("declaration").alias("snippet")}
+    pinned = dependencies.where("version IS NOT NULL").select(*PIN, "file", "line", "declaration")
+    return pinned.join(per_pin, PIN).select(*[here.get(name, F.col(name)) for name in columns])
 
 
 def _finding() -> Column:
