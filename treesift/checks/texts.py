@@ -67,6 +67,8 @@ def credential_findings(t):
     found = report.as_findings(
         files.select(F.explode(literals.findings(F.col("path"), F.col("text"))).alias("finding"))
     ).withColumn("analyser", F.lit(0))
+    # Texts that a rule's id stands for need not be sorted with the rows.
+    found = found.drop("description", "remediation", "categories", "secondary_rule_ids", "references")
     kept = report.ordered(report.dedupe(found, ["analyser"]))
     return kept.select(
         "rule_id",
