@@ -172,8 +172,9 @@ _SCRIPT = """
     ),
 )
 def script_rule_findings(t):
-    files = t.derive(SCRIPT_FILES)
-    return _flat(script_rules.findings(written(script_facts.facts(files), "script-facts")))
+    texts, members = distinct_texts(t.derive(SCRIPT_FILES))
+    facts = written(script_facts.facts(texts), "script-facts")
+    return _flat(script_rules.findings(facts, members))
 
 
 @query(
