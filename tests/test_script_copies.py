@@ -1,8 +1,12 @@
 """Copies of a script are read and judged once, and reported for every path."""
 
+import re
+
+from test_script_rules import CASES
+
 from treesift.operators import script_rules
 from treesift.sources.batches import distinct_texts
-from treesift.sources.script_facts import facts
+from treesift.sources.script_facts import facts, facts_of
 
 KEY = "sk-" + "a1B2" * 5
 # One location with a defect that tests make an observation, beside a better one that stays a defect or a worse one.
@@ -32,3 +36,20 @@ def test_same_findings_as_without_copies(spark):
     want = script_rules.findings(facts(files).persist())
     assert got.schema == want.schema
     assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_wanted_facts_are_all_that_rules_find(spark):
+    files = spark.createDataFrame([(p, t) for p, (t, _) in CASES.items()] + FILES, "path string, text string")
+    got, want = facts(files, script_rules.WANTED).persist(), facts(files).persist()
+    assert got.count() < want.count()
+    found, wanted = (sorted(script_rules.findings(f).collect(), key=repr) for f in (got, want))
+    assert found == wanted and len({r.rule_id for r in found}) == len(script_rules.rules())
+
+
+def test_wanted_facts_are_the_same_rows():
+    wanted = {kind: re.compile(pattern) for kind, pattern in script_rules.WANTED.items()}
+    for text, _ in CASES.values():
+        rows = [r for r in facts_of(text) if r["fact"] != "line"]
+        assert [r for r in facts_of(text, wanted) if r["fact"] != "line"] == [
+            r for r in rows if wanted[r["fact"]].search(r["args"][0]["content"] if r["fact"] == "string" else r["name"])
+        ]

@@ -173,7 +173,7 @@ _SCRIPT = """
 )
 def script_rule_findings(t):
     texts, members = distinct_texts(t.derive(SCRIPT_FILES))
-    facts = written(script_facts.facts(texts), "script-facts")
+    facts = written(script_facts.facts(texts, script_rules.WANTED), "script-facts")
     return _flat(script_rules.findings(facts, members))
 
 

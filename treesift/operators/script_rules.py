@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treesift.functions.credentials import CREDENTIAL_NAME
 from treesift.functions.paths import is_test_path
 from treesift.model import CONFIDENCES, FINDING_FIELDS, KINDS, SEVERITIES, string_array
 from treesift.operators.python_rules import (
@@ -42,6 +43,21 @@ KEY_PLACEHOLDER = (
 GRANT_CALLEE = r"(?i)^[a-z_$][a-z0-9_$]*(tool|agent)[a-z0-9_$]*$"
 
 
+def _any(*patterns: str) -> str:
+    return "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in patterns)
+
+
+# What the rules below look at: names of facts by kind, of strings the content. It may find more than the rules do,
+# whatever the engine; a rule whose facts it does not find would see nothing.
+WANTED = {
+    "call": _any("^eval$", *SHELL_CALLEES, r"\.query$", GRANT_CALLEE, "^generateText$", "^streamText$", r"\.chat\.completions\.create$"),
+    "new": _any("^Function$", "^ChatOpenAI$", "^ChatAnthropic$"),
+    "string": _any(KEY_TEXT, r"^Bearer\s"),
+    "const": _any(PROMPT_NAMES, CREDENTIAL_NAME),
+    "tool": STATE_CHANGING_VERBS,
+}
+
+
 def _arg(index: int) -> Column:
     return F.get(F.col("args"), F.lit(index))
 
@@ -126,7 +142,8 @@ def findings(facts: DataFrame, members: DataFrame | None = None) -> DataFrame:
     matched = facts.where("fact not in ('unparseable', 'line')").select(
         "path", "line", "col", reduce(Column.bitwiseOR, bits).alias("found")
     )
-    places = matched.where("found <> 0").groupBy("path", "line", "col").agg(F.bit_or("found").alias("found"))
+    # Filtered only when grouped: a filter before would be pushed down with a second copy of all conditions.
+    places = matched.groupBy("path", "line", "col").agg(F.bit_or("found").alias("found")).where("found <> 0")
     lines = facts.where("fact = 'line'").select("path", "line", F.col("snippet").alias("shown"))
     shown = places.join(lines, ["path", "line"])
     return _merged(shown if members is None else of_every_path(shown, members), table)
