@@ -84,3 +84,33 @@ def test_rows_of_a_text():
     rows = names_of("def f(a):\n    return a\n")
     assert [(r["kind"], r["name"]) for r in rows] == [("parameter", "a"), ("use", "a")]
     assert names_of("x = (") == []
+
+
+def test_wanted_names_in_order(spark):
+    rng = random.Random(4)
+    texts = {f"q{k}.py": "\n".join(program(rng) + program(rng)) + "\n" for k in range(60)}
+    # A path that comes again counts once.
+    files = spark.createDataFrame([*texts.items(), *list(texts.items())[:20]], "path string, text string").repartition(7)
+    rows = names(files, 3, ("x", "w"))
+    assert {r["name"] for r in rows.select("name").distinct().collect()} == {"x", "w"}
+    found = resolved(rows, in_order=True).collect()
+    got = {(r["path"], r["line"], r["col"], r["name"]): (r["kind"], r["sure"], list(r["values"])) for r in found}
+    want = {(p, *place): v for p, t in texts.items() for place, v in walked(t).items() if place[2] in "xw"}
+    assert len(found) == len(want) > 500 and got == want
+
+
+def test_names_in_any_order_and_scopes_around(spark):
+    text = "x = 1\nif x:\n    x = 2\ndef f(p):\n    def g():\n        return x, p, q\n    return g\n"
+    rows = names(spark.createDataFrame([("a.py", text), ("b.py", text)], "path string, text string")).orderBy("col", "kind")
+    got = {(r["path"], r["name"], r["line"]): (r["kind"], r["sure"], list(r["values"])) for r in resolved(rows).collect()}
+    assert got == {
+        (path, *use): met
+        for path in ("a.py", "b.py")
+        for use, met in {
+            ("x", 2): ("binding", True, ["1"]),
+            ("x", 6): ("binding", True, ["1", "2"]),
+            ("p", 6): ("parameter", False, []),
+            ("q", 6): ("name", False, []),
+            ("g", 7): ("name", False, []),
+        }.items()
+    }

@@ -130,3 +130,22 @@ def found(spark):
 def test_case(found, path):
     got = {(r.rule_id, r.line, r.kind) for r in found if r.file == path}
     assert got == CASES[path][1]
+
+
+def test_every_node_has_a_place():
+    import ast
+
+    from treesift.sources.python_facts import _File
+
+    text = (
+        "type A[T] = list[T]\n@d(1)\ndef f(a, /, b=1, *c, e, g=2, **h) -> int:\n    d = {**a, 'k': [*b], 1: (yield)}\n"
+        "    with open(a) as x, y: pass\n    match a:\n        case {'k': [p, *q], **r} if p: pass\n        case C(1, z=2) | None: pass\n"
+        "    try:\n        del a[1:2:3]\n    except* E as err:\n        raise X from err\n    else:\n        b: int = 1\n    finally:\n        b += 1\n"
+        "async def g():\n    async for i in a:\n        await (lambda *k, u, v=1: u)\n    return [n async for n in a if n] if (m := 1) < 2 < 3 else f'{x!r:>{w}}'\n"
+    )
+    file = _File(text, frozenset())
+    assert {n for n in ast.walk(file.tree) if n._fields} <= set(file.nodes) and len(set(file.nodes)) == len(file.nodes)
+    for node in file.nodes[1:]:
+        above, field, *_ = file.place[node]
+        held = getattr(above, field)
+        assert held is node or node in held

@@ -14,3 +14,8 @@ def test_rows_of_one_file_are_dealt_over_tasks(spark, tmp_path):
 def test_names_of_a_file_meet_in_one_shuffle(spark):
     plan = resolved(spark.createDataFrame([], NAMES))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_names_in_order_are_not_dealt_again(spark):
+    plan = resolved(spark.createDataFrame([], NAMES), in_order=True)._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Window"))

@@ -212,10 +212,9 @@ _LOOKUPS = """
 
 @query("name_lookups", with_ctes(f"SELECT path, line, name, kind, sure, vals FROM ({_LOOKUPS})", files=SCOPE_FILES))
 def name_lookups(t):
-    """Which bindings each use can meet, over scopes and branches, by joins of name rows."""
+    """Which bindings each use can meet, over scopes and branches, from name rows."""
     files = t.derive(SCOPE_FILES)
-    tasks = tasks_for(files)
     # A name meets only bindings of that name.
-    rows = python_names.names(files, tasks).where(F.col("name").isin("x", "y", "z", "missing"))
-    found = name_lookup.resolved(rows, tasks)
+    rows = python_names.names(files, tasks_for(files), ("x", "y", "z", "missing"))
+    found = name_lookup.resolved(rows, in_order=True)
     return found.select("path", "line", "name", "kind", "sure", F.array_join("values", ";").alias("vals"))
