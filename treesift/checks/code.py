@@ -60,7 +60,7 @@ _EXPECTED = """
 )
 def python_rule_findings(t):
     texts, members = distinct_texts(t.derive(PYTHON_FILES))
-    facts = written(python_facts.facts(texts, provenance.SINK_LEAVES), "check-python")
+    facts = written(python_facts.facts(texts, provenance.SINK_LEAVES, python_rules.WANTED), "check-python")
     return _flat(python_rules.findings(facts, members=members))
 
 
